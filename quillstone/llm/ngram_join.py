@@ -8,8 +8,9 @@ group is a signature. Parts are ranges of hashes, so a sorted set is cut by bina
 
 A subset that holds nothing would be shared by strangers, so it gives no signature; x groups of slack make up for it.
 A set with more than x such groups also emits its prefix elements, which any two such sets that link must share. So
-candidates are complete. They are then checked exactly: each set against the hub (least key) it shares most
-signatures with, then, in buckets that still hold several components, across components only.
+candidates are complete. They are then checked exactly: each set against the most connected member of its buckets that
+it shares most signatures with, then, where buckets still hold several components, across components only, leaving out
+the pairs that a bound by rare features rules out.
 """
 
 from __future__ import annotations
@@ -140,6 +141,35 @@ def _verified(num: int, den: int):
     return run
 
 
+def _features(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, 500):
+            part = b.slice(at, 500)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
+            size = np.array([len(s) for s in sets], np.int64)
+            each = [np.repeat(part.column(i).to_numpy(), size) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, each), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets))], ["node", "label", "size", "feature"])
+
+
+def _prefix_pairs(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (u > v) of nodes (node, label, shingles) with different labels, with every pair that links among them.
+
+    Features are ordered by how many nodes hold them, rare first. At the first feature a pair shares, at places i and
+    j of sets of sizes a <= b, at most min(a - i, b - j) are shared in all, so it must reach num (a + b) / (num + den).
+    Texts that share no more than what all of a large group share are thus no pair.
+    """
+    each = stash(nodes.mapInArrow(_features, "node long, label long, size long, feature long"), "features")
+    held = each.groupBy("feature").count()
+    place = F.row_number().over(Window.partitionBy("node").orderBy("count", "feature")) - 1
+    placed = each.join(held, "feature").withColumn("place", place).where(f"count > 1 and (size - place) * {den} >= size * {num}")
+    placed = stash(placed.select("node", "label", "size", "feature", "place"), "prefixes")
+    a = placed.where(f"(size - place) * {num + den} >= 2 * size * {num}").select("feature", *(F.col(c).alias(c + "_a") for c in ("node", "label", "size", "place")))
+    b = placed.select("feature", *(F.col(c).alias(c + "_b") for c in ("node", "label", "size", "place")))
+    enough = f"(size_a <= size_b) and (size_b * {num} <= size_a * {den}) and least(size_a - place_a, size_b - place_b) * {num + den} >= (size_a + size_b) * {num}"
+    met = a.join(b, (a["feature"] == b["feature"]) & (a["label_a"] != b["label_b"]) & F.expr(enough))
+    return met.select(F.greatest("node_a", "node_b").alias("u"), F.least("node_a", "node_b").alias("v")).distinct()
+
+
 def ngram_join(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text, ...).
 
@@ -160,8 +190,13 @@ def ngram_join(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN
         "buckets",
     )
     release_shuffles(spark)
-    shared = buckets.groupBy("key", "hub").count()
-    best = shared.groupBy("key").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub")).select(F.col("key").alias("u"), F.col("hub").alias("v"))
+    member = buckets.select("sig", F.col("key").alias("node")).unionByName(buckets.select("sig", F.col("hub").alias("node")).distinct())
+    wide = member.groupBy("sig").agg(F.count("*").alias("width"))
+    degree = member.join(wide, "sig").groupBy("node").agg(F.sum("width").alias("degree"))
+    member = stash(member.join(degree, "node"), "member")
+    centre = member.groupBy("sig").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
+    shared = member.join(centre, "sig").where("node <> hub").groupBy("node", "hub").count()
+    best = shared.groupBy("node").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub")).select(F.col("node").alias("u"), F.col("hub").alias("v"))
     nodes = stash(buckets.select("key").union(buckets.select("hub")).distinct().join(classes.select("key", "rep"), "key"), "nodes")
     count = nodes.count()
     if count:
@@ -177,12 +212,10 @@ def ngram_join(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN
 
         first = check(best)
         label = components(first.where("linked"))
-        member = buckets.select("sig", F.col("key").alias("node")).union(buckets.select("sig", F.col("hub").alias("node")).distinct())
-        member = member.join(label, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-        mixed = member.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-        part = stash(member.join(mixed, "sig"), "mixed")
-        a, b = part.select("sig", F.col("node").alias("u"), F.col("label").alias("lu")), part.select("sig", F.col("node").alias("v"), F.col("label").alias("lv"))
-        more = a.join(b, "sig").where("lu > lv").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        labelled = member.join(label, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
+        mixed = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
+        rest = stash(labelled.join(mixed, "sig", "left_semi").select("node", "label").distinct(), "mixed")
+        more = _prefix_pairs(rest.join(sets, rest["node"] == sets["key"]).select("node", "label", "shingles"), num, den)
         known = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         second = check(more.join(known, ["u", "v"], "left_anti"))
         label = components(first.where("linked").union(second.where("linked")).select("u", "v"))

@@ -3,14 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents
+from .exact_dedup import exact_dedup
+from .language_id import held_out, identify, learn
+from .mixing import mix_sources
 from .ngram_join import ngram_join
+from .packing import pack
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join,)}
-ORACLES: dict[str, str] = {}
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = F.coalesce(held_out(), F.lit(False))
+    got = identify(docs, learn(docs.where(~out)))
+    return got.select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(documents(spark, sf_dir))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir)).drop("copies", "source")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_language_id, op5_exact_dedup, op8_mixing, op10_packing)}
+
+#: What SQL can express, for DuckDB.
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": r"""
+        with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents)
+        select doc_id, min(doc_id) over (partition by norm) as keep_id, count(*) over (partition by norm) as group_size,
+               doc_id = min(doc_id) over (partition by norm) as kept, sha256(norm) as text_sha256
+        from t
+    """,
+}
