@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lm
 from .common import documents
 from .exact_dedup import exact_dedup
 from .language_id import held_out, identify, learn
@@ -17,6 +18,12 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(documents(spark, sf_dir))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = lm.score(docs, lm.train(docs.where(~lm.held_out())))
+    return scored.select("doc_id", lm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = F.coalesce(held_out(), F.lit(False))
@@ -36,7 +43,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op4_language_id, op5_exact_dedup, op8_mixing, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op4_language_id, op5_exact_dedup, op8_mixing, op10_packing)}
 
 #: What SQL can express, for DuckDB.
 ORACLES: dict[str, str] = {
