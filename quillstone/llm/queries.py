@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm
+from . import lm, media, pii
 from .common import documents
 from .exact_dedup import exact_dedup
 from .language_id import held_out, identify, learn
@@ -35,15 +35,23 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(documents(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).drop("copies", "source")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op4_language_id, op5_exact_dedup, op8_mixing, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op4_language_id, op5_exact_dedup, op6_media, op8_mixing, op9_pii, op10_packing)}
 
 #: What SQL can express, for DuckDB.
 ORACLES: dict[str, str] = {
