@@ -12,6 +12,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table. Arrow batches get 1,000 rows unless the session asks for another number: texts are long."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -50,11 +53,11 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def bitmap_filter(df: DataFrame, key, keys: DataFrame, key_of_keys, n_keys: int, max_bits: int = 1 << 26) -> DataFrame:
-    """Drops most rows of df whose key is not among keys, before any shuffle; an exact join must follow.
+def bitmap_hits(df: DataFrame, key, keys: DataFrame, key_of_keys, n_keys: int, max_bits: int = 1 << 26) -> DataFrame:
+    """df with __hit: false only where key is surely not among keys, found without a shuffle of df.
 
     A one-hash bitmap of at most max_bits bits is built in Spark and broadcast as (word, 64 bits) rows, so the
-    broadcast side has at most max_bits / 64 rows whatever the input. A fuller bitmap only passes more rows.
+    broadcast side has at most max_bits / 64 rows whatever the input. A fuller bitmap only hits more rows.
     """
     bits = 1 << 16
     while bits < 16 * n_keys and bits < max_bits:
@@ -71,12 +74,17 @@ def bitmap_filter(df: DataFrame, key, keys: DataFrame, key_of_keys, n_keys: int,
     return (
         df.withColumn("__slot", slot(key))
         .withColumn("__word", F.floor(F.col("__slot") / 64))
-        .join(F.broadcast(words), "__word")
-        .where(F.expr("(shiftrightunsigned(__bits, cast(__slot % 64 as int)) & 1L) = 1L"))
+        .join(F.broadcast(words), "__word", "left")
+        .withColumn("__hit", F.expr("coalesce((shiftrightunsigned(__bits, cast(__slot % 64 as int)) & 1L) = 1L, false)"))
         .drop("__slot", "__word", "__bits")
     )
 
 
+def bitmap_filter(df: DataFrame, key, keys: DataFrame, key_of_keys, n_keys: int) -> DataFrame:
+    """Drops most rows of df whose key is not among keys, before any shuffle; an exact join must follow."""
+    return bitmap_hits(df, key, keys, key_of_keys, n_keys).where("__hit").drop("__hit")
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node reachable, for every node of links (u, v longs), by alternating star steps.
 

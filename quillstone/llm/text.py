@@ -98,6 +98,7 @@ def runs(off: np.ndarray, chunk: int = CHUNK) -> Iterator[tuple[int, int]]:
 
 def chunks(batches, column: str = "text", lower: bool = True, chunk: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, Words]]:
     """(rows, their words) for every run of rows of every batch."""
+    pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back
     for batch in batches:
         buf, off = utf8(batch.column(batch.schema.get_field_index(column)))
         for a, b in runs(off, chunk):
