@@ -1,8 +1,69 @@
-"""Documents to packed training sequences."""
+"""Documents to packed training sequences: language, exact copies, near copies, mixture, packing.
 
-STAGES = []
+Each stage is (spark, docs, sf_dir) -> DataFrame; run() writes every stage's rows to the shared folder and reads them
+back as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillstone.llm.common import bitmap_hits, documents, stash
+from quillstone.llm.exact_dedup import exact_dedup, normalised
+from quillstone.llm.language_id import keep_identified, learn
+from quillstone.llm.mixing import mix_sources
+from quillstone.llm.ngram_join import ngram_join
+from quillstone.llm.packing import pack
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the language of is not told: no letters, or a narrow margin."""
+    return keep_identified(docs, learn(docs))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts; only rows that may be in a group are shuffled."""
+    kept = stash(exact_dedup(docs).where("group_size > 1 and kept").select("keep_id", F.col("text_sha256").alias("__sha")), "kept")
+    seen = bitmap_hits(docs.withColumn("__sha", F.sha2(normalised(), 256)), F.col("__sha"), kept, F.col("__sha"), kept.count())
+    among = seen.where("__hit").join(kept.withColumn("__group", F.lit(True)), "__sha", "left")
+    alone = among.where("__group is null").select(docs.columns)
+    one = among.where("__group").where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["__sha"]).select(docs.columns)
+    return seen.where("not __hit").select(docs.columns).unionByName(alone).unionByName(one)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least doc_id of each component of near copies: five words, a similarity of 0.8 or more.
+
+    Rows that share a doc_id go only if all of them would.
+    """
+    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = ngram_join(docs, n=5, num=80, den=100).groupBy("doc_id").agg(stays.alias("stays")).where("not stays and doc_id is not null")
+    gone = stash(gone.select("doc_id"), "gone")
+    seen = bitmap_hits(docs, F.col("doc_id"), gone, F.col("doc_id"), gone.count())
+    among = seen.where("__hit").join(gone, "doc_id", "left_anti")
+    return seen.where("not __hit").select(docs.columns).unionByName(among.select(docs.columns))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as many times as the mixture takes it."""
+    got = mix_sources(docs).where("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(F.max("copies").alias("__n"))
+    both = docs.join(got, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")))
+    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, by sequence."""
+    return pack(docs)
+
+
+STAGES = [("language", language), ("exact", exact), ("near", near), ("mixture", mixture), ("packed", packed)]
+#: Compression, tokenizing and packing are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
