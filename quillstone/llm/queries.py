@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, media, pii
+from . import html_text, lm, media, pii, token_count
 from .common import documents
 from .exact_dedup import exact_dedup
 from .language_id import held_out, identify, learn
@@ -24,6 +24,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", lm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = F.coalesce(held_out(), F.lit(False))
@@ -39,6 +43,10 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(documents(spark, sf_dir))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(documents(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).drop("copies", "source")
 
@@ -51,7 +59,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op4_language_id, op5_exact_dedup, op6_media, op8_mixing, op9_pii, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_lm_scoring, op3_html_text, op4_language_id, op5_exact_dedup, op6_media, op7_token_counts, op8_mixing, op9_pii, op10_packing)}
 
 #: What SQL can express, for DuckDB.
 ORACLES: dict[str, str] = {
