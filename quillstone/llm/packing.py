@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,35 +25,54 @@ WINDOW, END, GROUP = 4096, 2, 20_000
 
 
 class Tokens:
-    """Ids of texts by a tokenizer file, through a cache of words.
+    """Ids of texts by a tokenizer file, through a cache of words of a bounded size that lives as long as the worker.
 
-    The tokenizer splits at white space and drops it, so a text's ids are those of its words one after another.
+    The tokenizer splits at white space, drops it and lower-cases, so a text's ids are those of its words one after
+    another. New words are encoded many at a time, with a mark between them whose id nothing else has.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    MARK = b"\x01"
+
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tok, self.known, self.most = Tokenizer.from_file(path), {}, most
+        (self.mark,) = self.tok.encode(self.MARK.decode(), add_special_tokens=False).ids
+
+    def _learn(self, words: list[bytes]) -> None:
+        odd = [w for w in words if self.MARK in w]
+        for w in odd:
+            self.known[w] = np.array(self.tok.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        words = [w for w in words if self.MARK not in w] if odd else words
+        for i in range(0, len(words), 4000):
+            part = words[i : i + 4000]
+            (e,) = self.tok.encode_batch_fast([(b" " + self.MARK + b" ").join(part).decode()], add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            raw, cut = ids.tobytes(), np.flatnonzero(ids == self.mark) * 4
+            for w, a, b in zip(part, [0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)], strict=True):
+                self.known[w] = raw[a:b]
 
     def of(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        new = list({w for ws in words for w in ws}.difference(self.known))
+        words = [(t if b"<" in t else t.lower()).split() for t in texts]
+        new = {w for ws in words for w in ws}.difference(self.known)
         if len(self.known) + len(new) > self.most:
-            self.known, new = {}, list({w for ws in words for w in ws})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tok.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self.known, new = {}, {w for ws in words for w in ws}
+        self._learn(list(new))
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 
 
+@lru_cache(1)
+def _tokens(path: str) -> Tokens:
+    return Tokens(path)
+
+
 def _cut(path: str, window: int, end: int):
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokens, tail = Tokens(path), np.array([end], "<u4").tobytes()
+        tokens, tail = _tokens(path), np.array([end], "<u4").tobytes()
         for batch in batches:
             buf, off = utf8(batch.column(1))
             for a, b in runs(off):

@@ -12,7 +12,7 @@ def test_pieces_round_trip(spark):
 
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     r = random.Random(2)
-    rows = [(i, " ".join(r.choice(["the", "Nation's", "é", "ΑΣ", "x1y", "<|endoftext|>", "don't", "́a", "\x1c", "😀"]) for _ in range(r.choice([0, 1, 5, 60, 300])))) for i in range(200)]
+    rows = [(i, " ".join(r.choice(["the", "Nation's", "é", "ΑΣ", "x1y", "<|endoftext|>", "don't", "́a", "\x1c", "\x01", "a\x01b", "<|STARTOFTEXT|>", "ΑΣ.", "İK", "😀"]) for _ in range(r.choice([0, 1, 5, 60, 300])))) for i in range(200)]
     rows += [(900, None), (901, ""), (902, " \n\t"), (903, "long text " * 3000), (904, "a" * 5000), (905, "a b c"), (None, "null id")]
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, bucket string")
     got = pack(df, window=512, group=100).collect()
