@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_shuffles, scratch, stash
+from .common import discard, release_shuffles, scratch, stash
 from .text import Words, chunks
 
 A = np.uint64(0x9E6C63D0676A9A99)
@@ -266,6 +266,7 @@ def train(docs: DataFrame) -> tuple[str, int, dict]:
     got = merged.where("shard >= 0").groupBy("shard").applyInPandas(_merge_words(folder), "shard int, blob binary")
     total = np.zeros((3, 8), np.int64)
     both = stash(got.unionByName(merged.where("shard < 0")), "counts")
+    discard(spark, merged.inputFiles()[0].rpartition("/")[0])
     for shard, blob in both.toLocalIterator():  # a few numbers a shard
         total[-shard] += np.frombuffer(blob, np.int64)
     pairs, words = total[1], total[2]
