@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,11 +48,14 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Lets the context cleaner drop the shuffle files of plans that are no longer referenced."""
-    import gc
+    """Lets the context cleaner drop the shuffle files of plans that are no longer referenced.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    The last events of a query hold its plan until they are handled, so the driver collects its garbage more than once.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def bitmap_hits(df: DataFrame, key, keys: DataFrame, key_of_keys, n_keys: int, max_bits: int = 1 << 26) -> DataFrame:
