@@ -66,6 +66,15 @@ def projection(matrix: Column, labels: Column, table_id: Column, location: Colum
     return F.when(w > 0, F.transform(F.slice(matrix, header_rows + 1, 1_000_000), line)).otherwise(F.array().cast("array<string>"))
 
 
+def page_labels(matrix: Column, header_rows: Column | int = 1, merged_first_two: Column | bool = False) -> Column:
+    """Labels of a page's table: row_label where the first column has none; a header merged over two columns names a group."""
+    plain = column_labels(matrix, header_rows, unique=False)
+    named = F.transform(plain, lambda x, i: F.when((i == 0) & (x == "column_1"), F.lit("row_label")).otherwise(x))
+    merged = F.lit(merged_first_two) if isinstance(merged_first_two, bool) else merged_first_two
+    grouped = F.concat(F.array(F.concat(named[0], F.lit(" group")), named[0]), F.slice(named, 3, 10_000))
+    return F.when(merged & (F.size(named) >= 2), grouped).otherwise(named)
+
+
 # --- long cells -----------------------------------------------------------------------------------------------------
 
 

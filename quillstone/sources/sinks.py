@@ -26,6 +26,41 @@ def write_report(spark: SparkSession, report: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(report, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+# What a stored point says of its chunk.
+PAYLOAD = (
+    "chunk_id", "chunk_index", "parent_record_id", "source_record_ids", "source_format", "source_kind", "source_provider", "source_file", "page_start", "page_end",
+    "paragraph_index", "sheet_name", "cell_range", "section_path", "chunk_type", "chunk_text", "embedding_text", "search_text", "table_id", "table_header",
+    "column_headers", "parent_row_labels", "row_labels", "header_row_count", "row_indices", "row_matrix", "raw_matrix_sha256", "source_location", "group_key",
+    "document_id", "company_id", "company_name", "ticker", "cik", "fiscal_year", "report_type", "language", "currency", "unit_scale", "source_url", "source_sha256",
+    "table_title", "table_context", "measure_name", "value_kind", "region", "period_years", "statement_family", "statement_scope", "period_end", "unit",
+    "table_title_raw", "table_group_id", "content_role",
+)
+
+
+def payload(chunks: DataFrame) -> DataFrame:
+    """The columns a point keeps, null where a chunk has none; the whole matrix stays in a table of its own."""
+    have = set(chunks.columns)
+    col = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
+    full = lambda c: F.when(col(c) != "", col(c))
+    special = {"source_file": ("_source_file", "source_file", "_chunk_file"), "source_sha256": ("sha256", "source_sha256")}
+    return chunks.select(*((F.coalesce(*map(full, special[c])) if c in special else col(c)).alias(c) for c in PAYLOAD))
+
+
+def embed_text(chunks: DataFrame):
+    """What is encoded: embedding_text, else a table's search_text, else the chunk's text."""
+    have = set(chunks.columns)
+    full = lambda c: F.when(F.col(c) != "", F.col(c)) if c in have else F.lit(None).cast("string")
+    table = F.coalesce(full("chunk_type"), F.lit("")).startswith("table")
+    return F.coalesce(full("embedding_text"), F.when(table, full("search_text")), full("chunk_text"), F.lit(""))
+
+
+def matrices(chunks: DataFrame) -> DataFrame:
+    """(table_group_id, raw_matrix), each whole matrix once; two different ones of a group raise."""
+    m = chunks.where("table_group_id <> '' and size(raw_matrix) > 0").groupBy("table_group_id").agg(F.min(F.to_json("raw_matrix")).alias("a"), F.max(F.to_json("raw_matrix")).alias("b"))
+    clash = F.raise_error(F.concat(F.lit("different matrices of table group "), F.col("table_group_id")))
+    return m.select("table_group_id", F.from_json(F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(clash.cast("string")), "array<array<string>>").alias("raw_matrix"))
+
+
 class PointStore:
     """Points (point_id, chunk_id, vector, payload columns) in versioned Parquet folders under a root.
 
