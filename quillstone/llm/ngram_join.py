@@ -27,6 +27,8 @@ from .text import Words, chunks, mix
 NUM, DEN, SHINGLE = 85, 100, 4
 #: Upper over lower size of a band.
 BAND = 1.3
+#: Slots of the table that tells common features from rare ones.
+SLOTS = 1 << 20
 _ARMS = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
@@ -141,28 +143,58 @@ def _verified(num: int, den: int):
     return run
 
 
-def _features(batches):
+def _slot_counts(batches):
+    """Blocks of how many features fall to each of SLOTS slots."""
+    count = np.zeros(SLOTS, np.uint32)
     for b in batches:
         for at in range(0, b.num_rows, 500):
-            part = b.slice(at, 500)
-            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
-            size = np.array([len(s) for s in sets], np.int64)
-            each = [np.repeat(part.column(i).to_numpy(), size) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, each), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets))], ["node", "label", "size", "feature"])
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(2).slice(at, 500)]
+            count += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+    if count.any():
+        parts = count.reshape(-1, 4096)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "counts"])
+
+
+def _summed(g):
+    total = sum((np.frombuffer(x, np.uint32).astype(np.int64) for x in g["counts"]), np.zeros(4096, np.int64))
+    return g.iloc[:1].assign(counts=[total.tobytes()])
+
+
+def _prefixes(common, num: int, den: int):
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                sizes, features, places = [], [], []
+                for x in part.column(2):
+                    s = np.frombuffer(x.as_buffer(), np.uint64)
+                    n = len(s) - (len(s) * num + den - 1) // den + 1
+                    first = s[np.lexsort((s, common.value[(s >> np.uint64(44)).astype(np.int64)]))[:n]]
+                    sizes.append(len(s))
+                    features.append(first.view(np.int64))
+                    places.append(np.arange(len(first)))
+                times = [len(f) for f in features]
+                each = [np.repeat(c, times) for c in (part.column(0).to_numpy(), part.column(1).to_numpy(), np.array(sizes, np.int64))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, each), pa.array(np.concatenate(features)), pa.array(np.concatenate(places))], ["node", "label", "size", "feature", "place"])
+
+    return run
 
 
 def _prefix_pairs(nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (u > v) of nodes (node, label, shingles) with different labels, with every pair that links among them.
 
-    Features are ordered by how many nodes hold them, rare first. At the first feature a pair shares, at places i and
-    j of sets of sizes a <= b, at most min(a - i, b - j) are shared in all, so it must reach num (a + b) / (num + den).
-    Texts that share no more than what all of a large group share are thus no pair.
+    Features are ordered by how common their slot of a table of a fixed size is, rare first; any order is right, this
+    one is quick. At the first feature a pair shares, at places i and j of sets of sizes a <= b, at most
+    min(a - i, b - j) are shared in all, so it must reach num (a + b) / (num + den). Texts that share no more than what
+    all of a large group share are thus no pair.
     """
-    each = stash(nodes.mapInArrow(_features, "node long, label long, size long, feature long"), "features")
-    held = each.groupBy("feature").count()
-    place = F.row_number().over(Window.partitionBy("node").orderBy("count", "feature")) - 1
-    placed = each.join(held, "feature").withColumn("place", place).where(f"count > 1 and (size - place) * {den} >= size * {num}")
-    placed = stash(placed.select("node", "label", "size", "feature", "place"), "prefixes")
+    nodes = stash(nodes, "nodes")
+    counts = nodes.mapInArrow(_slot_counts, "block int, counts binary").groupBy("block").applyInPandas(_summed, "block int, counts binary")
+    table = np.zeros(SLOTS, np.int64)
+    for block, blob in counts.collect():  # SLOTS numbers
+        table[block * 4096 : (block + 1) * 4096] = np.frombuffer(blob, np.int64)
+    common = nodes.sparkSession.sparkContext.broadcast(table)
+    placed = stash(nodes.mapInArrow(_prefixes(common, num, den), "node long, label long, size long, feature long, place long"), "prefixes")
     a = placed.where(f"(size - place) * {num + den} >= 2 * size * {num}").select("feature", *(F.col(c).alias(c + "_a") for c in ("node", "label", "size", "place")))
     b = placed.select("feature", *(F.col(c).alias(c + "_b") for c in ("node", "label", "size", "place")))
     enough = f"(size_a <= size_b) and (size_b * {num} <= size_a * {den}) and least(size_a - place_a, size_b - place_b) * {num + den} >= (size_a + size_b) * {num}"
