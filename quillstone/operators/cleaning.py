@@ -73,7 +73,7 @@ def drop_table_copies(c: Column, matrices: Column) -> Column:
     def cut(text, m):
         body = F.filter(F.transform(F.slice(m, 2, 100_000), cells), lambda r: F.size(r) >= 2)
         row = lambda r: F.concat_ws(r"\s*", F.transform(r, lambda x: F.regexp_replace(x, " ", r"\\s*")))
-        one = F.concat(F.lit(r"(?s)(?<![\p{L}\p{N}_])"), row(F.try_element_at(body, F.lit(1))), F.lit(".{0,4000}?"), row(F.try_element_at(body, F.lit(-1))), F.lit(r"(?![\p{L}\p{N}_])"))
+        one = F.concat(F.lit(r"(?s)[ \t]*(?<![\p{L}\p{N}_])"), row(F.try_element_at(body, F.lit(1))), F.lit(".{0,4000}?"), row(F.try_element_at(body, F.lit(-1))), F.lit(r"(?![\p{L}\p{N}_])[ \t]*"))
         return F.when(F.size(body) >= 2, strip(F.regexp_replace(text, one, F.lit(" ")))).otherwise(text)
 
     return F.aggregate(F.coalesce(matrices, F.array().cast("array<array<array<string>>>")), c, cut)
