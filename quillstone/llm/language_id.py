@@ -18,6 +18,9 @@ from .text import utf8
 
 #: Bounds of what is learned from: documents a language, bytes of each, bytes of a dictionary. Block and level of encoding.
 PER_LANG, PER_DOC, DICT_BYTES, BLOCK, LEVEL = 64, 1024, 98_304, 4096, 6
+#: Texts under SHORT bytes are encoded behind the first CARRIER bytes of the dictionary, since alone they would be stored
+#: raw, and at a higher level.
+SHORT, CARRIER, FINE = 256, 200, 12
 #: Texts whose best dictionary saves less than this share over the next are rejected.
 MARGIN = 0.005
 
@@ -47,11 +50,15 @@ def predict(dictionaries: dict[str, bytes], block: int = BLOCK, level: int = LEV
     def run(batches):
         import zstandard
 
-        packers = []
+        def packer(data: bytes, at: int):
+            d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=at)
+            return zstandard.ZstdCompressor(level=at, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+
+        packers, fine = [packer(dictionaries[k], level) for k in langs], []
         for k in langs:
-            d = zstandard.ZstdCompressionDict(dictionaries[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            packers.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+            c, start = packer(dictionaries[k], FINE), dictionaries[k][:CARRIER] + b" "
+            fine.append((c, start, len(c(start)) - 4))
         for batch in batches:
             buf, off = utf8(batch.column(1))
             pred, score = [], np.zeros(batch.num_rows)
@@ -60,8 +67,11 @@ def predict(dictionaries: dict[str, bytes], block: int = BLOCK, level: int = LEV
                 if not langs or not raw.strip():
                     pred.append("und")
                     continue
-                parts = [raw[j : j + block] for j in range(0, len(raw), block)]
-                sizes = [sum(map(len, map(c, parts))) for c in packers]
+                if len(raw) < SHORT:
+                    sizes = [len(c(start + raw)) - size for c, start, size in fine]
+                else:
+                    parts = [raw[j : j + block] for j in range(0, len(raw), block)]
+                    sizes = [sum(map(len, map(c, parts))) for c in packers]
                 best = min(range(len(langs)), key=sizes.__getitem__)
                 rest = sizes[:best] + sizes[best + 1 :]
                 score[i] = 1 - sizes[best] / min(rest) if rest else 1.0
