@@ -2,9 +2,10 @@
 
 A source's target over its size is the number of copies that each of its documents should get. The whole part is
 given; the fractions duel in pairs: a random side takes mass (probability times words) from the other until one of the
-two is 0 or 1, which keeps the expected copies of each and the words of both. A bucket of documents ends with one
-fraction at most; these residuals go through a tree of further duels, and the last one of a source is drawn. So the
-words taken from a source differ from its target by less than its largest document.
+two is 0 or 1, which keeps the expected copies of each and the words of both. In a bucket of documents the largest
+duels with all smaller ones as one side, then the next, so that the one fraction it ends with is of a small document;
+these residuals go through a tree of further duels, and the last one of a source is drawn. So the words taken from a
+source differ from its target by less than its largest document, and as a rule by a few words.
 """
 
 from __future__ import annotations
@@ -62,11 +63,31 @@ def pivot(weights: list[float], probabilities: list[float], rng: random.Random,
     return p
 
 
+def settle(weights: list[float], p: float, rng: random.Random) -> list[float]:
+    """pivot() for weights in falling order that share one probability.
+
+    Each weight duels with all the smaller ones as one side, which shares what it gains or loses so that its members
+    stay equal; so large documents are settled while small ones can make up for them, and what is left is small.
+    """
+    out, rest = [], float(sum(weights))
+    for i, w in enumerate(weights):
+        rest -= w
+        if not 0 < p < 1 or rest <= 0 or w * (1 - p) > rest * p or w * p > rest * (1 - p):
+            return out + pivot(weights[i:], [p] * (len(weights) - i), rng, False)
+        taken = rng.random() < p
+        out.append(float(taken))
+        p = min(1.0, max(0.0, p - w * (1 - p) / rest if taken else p + w * p / rest))
+    return out
+
+
 def _round(seed: int, level: int, last: bool):
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["unit_size", "h", "doc_id"], na_position="last", kind="stable")
+        g = g.sort_values(["unit_size", "h", "doc_id"], ascending=[False, True, True], na_position="last", kind="stable")
         rng = random.Random(f"{seed} {level} {g['rank'].iloc[0]} {g['bucket'].iloc[0]}")
-        return g.assign(p=pivot(g["unit_size"].tolist(), g["p"].tolist(), rng, last))
+        p = g["p"].tolist()
+        if level == 0:  # all of a source share one probability
+            p = settle(g["unit_size"].tolist(), p[0], rng)
+        return g.assign(p=pivot(g["unit_size"].tolist(), p, rng, last))
 
     return run
 

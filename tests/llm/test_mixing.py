@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import pytest
 
-from quillstone.llm.mixing import duel, mix_sources, pivot
+from quillstone.llm.mixing import duel, mix_sources, pivot, settle
 
 SCHEMA = "doc_id long, text string, source string, target double, n int"
 
@@ -63,3 +63,12 @@ def test_pivot_keeps_mass_and_expectation():
     runs = [pivot(w, p, random.Random(i), True) for i in range(20_000)]
     for i in range(5):
         assert sum(x[i] for x in runs) / len(runs) == pytest.approx(p[i], abs=0.015)
+
+
+def test_settle_keeps_mass_and_expectation():
+    w = sorted([random.Random(2).randint(1, 40) for _ in range(60)], reverse=True)
+    runs = [settle(w, 0.37, random.Random(i)) for i in range(4000)]
+    for x in runs:
+        assert abs(sum(a * b for a, b in zip(x, w)) - 0.37 * sum(w)) < 1e-6 and sum(0 < a < 1 for a in x) <= 1
+    for i in range(0, 60, 7):
+        assert sum(x[i] for x in runs) / len(runs) == pytest.approx(0.37, abs=0.03)
