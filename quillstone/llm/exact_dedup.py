@@ -71,6 +71,7 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     named = identities(texts.select("rid", "n", "bytes"), block)
     member = stash(named.join(texts.select("rid", "doc_id", F.sha2("bytes", 256).alias("text_sha256")), "rid"), "member")
     groups = member.groupBy("n", "name").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"), F.count("*").alias("group_size"))
+    groups = stash(groups, "groups")  # read back, so that AQE may split the join at a large group
     inside = member.join(groups, ["n", "name"]).select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), "text_sha256"
     )
