@@ -214,6 +214,7 @@ def ngram_join(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN
     texts = docs.select("doc_id", "text")
     rows = stash(texts.mapInArrow(_profile(n), "doc_id long, n_shingles long, key long, check long"), "rows")
     classes = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("check").alias("c0"), F.max("check").alias("c1"))
+    classes = stash(classes, "classes")
     if classes.where("c0 <> c1").limit(1).count():
         raise RuntimeError("two different shingle sets share a 64-bit key")
     by_sig = Window.partitionBy("sig").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -259,5 +260,6 @@ def ngram_join(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN
     least = named.groupBy("label").agg(F.min("rep").alias("component"))
     linked = named.join(least, "label").select(F.col("node").alias("key"), "component")
     final = classes.select("key", "rep").join(linked, "key", "left").select("key", F.coalesce("component", "rep").alias("component"))
+    final = stash(final, "final")  # read back, so that AQE may split the join at a large class
     out = rows.where("n_shingles > 0").join(final, "key").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     return out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
