@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import identity, semantic, text, vectors
 from .operators import bm25, chunking, cleaning, evaluation, retrieval, scoring, tables
-from .sources import html
+from .sources import files, html, pdf, sinks
 from .streaming import incremental
 
 QUERIES: dict = {}
@@ -705,6 +705,127 @@ def vector_norm(spark, sf):
     return v.select(F.col("vec_id").alias("doc_id"), (vectors.norm(e) > 0).alias("has_norm"), F.round(vectors.norm(vectors.normalised(e)), 6).alias("unit_norm"))
 
 
+# --- literal cases of operators that the tables can't exercise -----------------------------------------------------------
+
+
+@query("""select * from (values (0, 'b', 1), (0, 'c', 2), (0, 'a', 3), (1, 'd', 1), (1, 'e', 2)) as t(query_id, id, rank)""")
+def task_priority(spark, sf):
+    rows = [(0, "a", 1, "other text", "", False), (0, "b", 2, "net sales table", "net sales", True), (0, "c", 3, "net sales rose", "net sales of x", False), (1, "d", 1, "none", "", False), (1, "e", 2, "none", "", True)]
+    h = spark.createDataFrame(rows, "query_id int, id string, rank int, norm_text string, row_label string, row_has_value boolean")
+    return retrieval.prioritise(h, ["net sales"]).select("query_id", "id", "rank")
+
+
+@query("""select * from (values (0, 'Net sales', true), (1, 'Cost', false), (2, '', false)) as t(i, label, valued)""")
+def row_label_parse(spark, sf):
+    rows = [(0, "head\nrow_number=2；Metric=Net sales；2024=10\nrow_number=3；Metric=x；2024=1"), (1, "row_number=4;Metric=Cost;2024=空值"), (2, "no table 12")]
+    label, valued = retrieval.row_parts(F.col("t"))
+    return spark.createDataFrame(rows, "i int, t string").select("i", label.alias("label"), valued.alias("valued"))
+
+
+@query("""select * from (values (0, 'we treat z as Farewell to it'), (1, 'The Sun Also Rises'), (2, 'retreatz')) as t(i, fixed)""")
+def word_join_repair(spark, sf):
+    d = spark.createDataFrame([(0, "we treatz as farewellto it"), (1, "TheSunAlso R ises"), (2, "retreatz")], "i int, t string")
+    return d.select("i", cleaning.repair_joins(F.col("t")).alias("fixed"))
+
+
+@query("""select * from (values (0, 'Figure 2: shows'), (1, 'Figure 2: x'), (2, 'box Figure 2: y')) as t(i, kept)""")
+def figure_label_removal(spark, sf):
+    d = spark.createDataFrame([(0, "box box Figure 2: shows", ["A diagram"]), (1, "Figure 2: x", ["figure"]), (2, "box Figure 2: y", [])], "i int, t string, r array<string>")
+    return d.select("i", cleaning.drop_figure_labels(F.col("t"), F.col("r")).alias("kept"))
+
+
+@query("""select * from (values (0, 'Before after'), (1, 'One row a b stays')) as t(i, kept)""")
+def table_copy_removal(spark, sf):
+    m = "array<array<array<string>>>"
+    rows = [(0, "Before Net sales 10 20 Cost 1 (2) after", [[["Item", "A", "B"], ["Net sales", "10", "20"], ["Cost", "1", "(2)"]]]), (1, "One row a b stays", [[["x", "y"], ["a", "b"]]])]
+    return spark.createDataFrame(rows, f"i int, t string, m {m}").select("i", cleaning.drop_table_copies(F.col("t"), F.col("m")).alias("kept"))
+
+
+@query("""select * from (values (1, 'image_pending', 0, 'excluded'), (1, 'text', 0, 'included'), (2, 'image_pending', 0, 'excluded'), (3, 'table', 0, 'included'), (3, 'text', 0, 'included')) as t(page, record_type, part, embedding_status)""")
+def page_record_assembly(spark, sf):
+    rows = [("d", 1, "Text", None, ["a figure"]), ("d", 2, "", None, []), ("d", 3, "More", [[["a", "b"]]], [])]
+    d = spark.createDataFrame(rows, "doc string, page int, cleaned_text string, matrices array<array<array<string>>>, reasons array<string>")
+    return cleaning.page_records(d).select("page", "record_type", "part", "embedding_status")
+
+
+@query("""select * from (values (0, 'section_title', 'A Title', null), (1, 'body', 'some text', null), (2, null, null, 0), (3, null, null, 1)) as t("sequence", content_role, cleaned_text, header_row_count)""")
+def block_record_clean(spark, sf):
+    rows = [("f", 0, "paragraph", "Heading 1", "A  Title", None), ("f", 1, "paragraph", "Normal", "some\ntext", None), ("f", 2, "table", None, None, [["a"]]), ("f", 3, "table", None, None, [["a"], ["b"]])]
+    d = spark.createDataFrame(rows, "source_file string, sequence int, record_type string, style string, text string, rows array<array<string>>")
+    return cleaning.clean_blocks(d).select("sequence", "content_role", "cleaned_text", "header_row_count")
+
+
+@query("""select * from (values ('A', 'excel_t01', 'h|k;1|'), ('B', 'excel_t02', 'x')) as t(sheet, table_id, cells)""")
+def sheet_record_clean(spark, sf):
+    d = spark.createDataFrame([("f", "A", 0, ["h", "k"], [["1", ""]]), ("f", "B", 1, ["x"], [])], "source string, sheet string, sheet_index int, headers array<string>, rows array<array<string>>")
+    return cleaning.clean_sheets(d).select("sheet", "table_id", F.concat_ws(";", F.transform("raw_matrix", lambda r: F.concat_ws("|", r))).alias("cells"))
+
+
+@query("""select * from (values (1, 'a b', null), (2, null, 'x y|z')) as t(html_order, cleaned_text, cells)""")
+def html_record_clean(spark, sf):
+    d = spark.createDataFrame([("d", 1, "text", "a  b", None, None), ("d", 2, "table", None, [["x  y", " z"]], "t1")], "doc string, html_order int, record_type string, raw_text string, matrix array<array<string>>, table_id string")
+    cells = F.when(F.col("raw_matrix").isNotNull(), F.concat_ws(";", F.transform("raw_matrix", lambda r: F.concat_ws("|", r))))
+    return cleaning.clean_html(d).select("html_order", F.when(F.col("record_type") == "text", F.col("cleaned_text")).alias("cleaned_text"), cells.alias("cells"))
+
+
+@query("""select * from (values (false, 'row_label|2024|2023'), (true, 'row_label group|row_label|2023')) as t(merged, labels)""")
+def page_table_labels(spark, sf):
+    d = spark.createDataFrame([(x, [["", "2024", "2023"], ["a", "1", "2"]]) for x in (False, True)], "merged boolean, m array<array<string>>")
+    return d.select("merged", F.concat_ws("|", tables.page_labels(F.col("m"), 1, F.col("merged"))).alias("labels"))
+
+
+@query("""select * from (values ('a', 'search', 's.pdf', 'h'), ('b', 'chunk', 'own', null), ('c', 'given', null, null)) as t(chunk_id, embed, source_file, source_sha256)""")
+def payload_projection(spark, sf):
+    rows = [("a", "table", "chunk", "search", None, None, "s.pdf", "h"), ("b", "text", "chunk", "search", None, "own", "s.pdf", None), ("c", "text", "chunk", "search", "given", None, "", None)]
+    d = spark.createDataFrame(rows, "chunk_id string, chunk_type string, chunk_text string, search_text string, embedding_text string, _source_file string, source_file string, sha256 string")
+    return sinks.payload(d).select("chunk_id", "source_file", "source_sha256").join(d.select("chunk_id", sinks.embed_text(d).alias("embed")), "chunk_id")
+
+
+@query("""select * from (values ('g', '1|2'), ('h', '3')) as t(table_group_id, cells)""")
+def matrix_registry(spark, sf):
+    d = spark.createDataFrame([("g", [["1", "2"]]), ("g", [["1", "2"]]), ("h", [["3"]]), ("", [["4"]]), ("i", [])], "table_group_id string, raw_matrix array<array<string>>")
+    return sinks.matrices(d).select("table_group_id", F.concat_ws(";", F.transform("raw_matrix", lambda r: F.concat_ws("|", r))).alias("cells"))
+
+
+@query("""select o_custkey as company_id, year(o_orderdate)::int as fiscal_year, o_orderkey as document_id from orders where o_orderstatus = 'O' qualify row_number() over (partition by o_custkey, year(o_orderdate) order by o_orderdate, o_orderkey) = 1""")
+def first_filings(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("company_id"), F.year("o_orderdate").alias("fiscal_year"), F.col("o_orderdate").alias("filed"), F.col("o_orderkey").alias("document_id"), F.col("o_orderstatus").alias("form"))
+    return files.first_filings(o, "O").select("company_id", "fiscal_year", "document_id")
+
+
+@query("""select source as dataset, doc_id as table_index from documents qualify row_number() over (partition by source order by doc_id) <= 3""")
+def table_previews(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("source").alias("dataset"), F.col("doc_id").alias("table_index"))
+    return files.table_previews(d)
+
+
+@query(f"""with {TOK} select id, win as "window", greatest(0, lag(least(win * 550 + 600, n)) over (partition by id order by win) - win * 550)::bigint as overlap from w""")
+def chunk_overlap(spark, sf):
+    from pyspark.sql import Window
+
+    before = F.lag("last").over(Window.partitionBy("id").orderBy("window"))
+    return _windows(spark, sf).select("id", F.col("window").cast("long").alias("window"), F.when(before.isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), before - F.col("first"))).cast("long").alias("overlap"))
+
+
+@query("""select * from (values (0, 'standalone', false), (1, 'unknown', true), (2, 'consolidated', false), (3, 'unknown', false)) as t(i, scope, may_hold_table)""")
+def page_scope_gate(spark, sf):
+    rows = [(0, "Standalone statement of the standalone company"), (1, "Consolidated and standalone balance sheets 2023 2024 1"), (2, "The consolidated results"), (3, None)]
+    d = spark.createDataFrame(rows, "i int, t string")
+    return d.select("i", pdf.scope_of(F.col("t")).alias("scope"), F.coalesce(pdf.may_hold_table(F.col("t")), F.lit(False)).alias("may_hold_table"))
+
+
+@query("""select * from (values ('1,234', 'was 1234 in all', true), ('12%', 'grew 12 points', false), ('12%', 'grew 12% more', true), ('(5)', 'a loss of -5', true), ('7', 'none', false)) as t(fact, body, present)""")
+def number_presence(spark, sf):
+    d = spark.createDataFrame([("1,234", "was 1234 in all"), ("12%", "grew 12 points"), ("12%", "grew 12% more"), ("(5)", "a loss of -5"), ("7", "none")], "fact string, body string")
+    return d.select("fact", "body", text.number_present("fact", "body").alias("present"))
+
+
+@query("""select lang, count(*) as calls, sum(n_chars)::bigint as prompt_tokens, round(sum(case when doc_id % 3 = 0 then n_chars else 0 end)::double / sum(n_chars), 6) as cache_hit_ratio from documents group by 1""")
+def usage_summary(spark, sf):
+    d = table(spark, sf, "documents").select("lang", F.col("n_chars").alias("prompt_tokens"), F.when(F.col("doc_id") % 3 == 0, F.col("n_chars")).otherwise(0).alias("cached_tokens"))
+    return evaluation.usage(d, "lang")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Top passages of every benchmark query with statistics of the whole corpus."""
     return bm25_topk(spark, sf)

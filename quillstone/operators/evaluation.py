@@ -82,3 +82,9 @@ def collection_checks(points: DataFrame, companies: list[str]) -> DataFrame:
         F.count("*").alias("points"), F.count_distinct("chunk_id").alias("distinct_ids"), F.sum((F.coalesce("chunk_id", F.lit("")) == "").cast("int")).alias("missing_ids"),
         (F.sort_array(F.collect_set("company_id")) == F.array(*map(F.lit, sorted(companies)))).alias("companies_ok"),
     )
+
+
+def usage(calls: DataFrame, by: str) -> DataFrame:
+    """Calls, prompt tokens and the share of them served from a cache, of calls (by, prompt_tokens, cached_tokens)."""
+    share = F.round(F.sum("cached_tokens").cast("double") / F.nullif(F.sum("prompt_tokens"), F.lit(0)), 6)
+    return calls.groupBy(by).agg(F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), share.alias("cache_hit_ratio"))
