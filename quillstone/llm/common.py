@@ -38,7 +38,9 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -47,6 +49,12 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop(*stashed: DataFrame) -> None:
+    """Deletes written tables that no result reads any more."""
+    for df in stashed:
+        discard(df.sparkSession, df._stashed)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Lets the context cleaner drop the shuffle files of plans that are no longer referenced.
 
@@ -117,7 +125,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not seen[0]:
             break
-        e = stash(star(star(e, True), False), "links")
+        before, e = e, stash(star(star(e, True), False), "links")
+        drop(before)
         now = mark(e)
         if now == seen:
             break

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_filter, release_shuffles, stash
+from .common import bitmap_filter, drop, release_shuffles, stash
 
 BLOCK = 4096
 
@@ -70,6 +70,7 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     release_shuffles(spark)
     named = identities(texts.select("rid", "n", "bytes"), block)
     member = stash(named.join(texts.select("rid", "doc_id", F.sha2("bytes", 256).alias("text_sha256")), "rid"), "member")
+    drop(texts)
     groups = member.groupBy("n", "name").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"), F.count("*").alias("group_size"))
     groups = stash(groups, "groups")  # read back, so that AQE may split the join at a large group
     inside = member.join(groups, ["n", "name"]).select(

@@ -20,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_filter, components, release_shuffles, stash
+from .common import bitmap_filter, components, drop, release_shuffles, stash
 from .text import Words, chunks, mix
 
 #: Similarity in hundredths and shingle length.
 NUM, DEN, SHINGLE = 85, 100, 4
 #: Upper over lower size of a band.
 BAND = 1.3
-#: Slots of the table that tells common features from rare ones.
-SLOTS = 1 << 20
+#: Bits of slots of the table that tells common features from rare ones, at most; slots of a block of it.
+SLOT_BITS, BLOCK = 24, 1 << 16
 _ARMS = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
@@ -143,63 +143,82 @@ def _verified(num: int, den: int):
     return run
 
 
-def _slot_counts(batches):
-    """Blocks of how many features fall to each of SLOTS slots."""
-    count = np.zeros(SLOTS, np.uint32)
-    for b in batches:
-        for at in range(0, b.num_rows, 500):
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(2).slice(at, 500)]
-            count += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
-    if count.any():
-        parts = count.reshape(-1, 4096)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "counts"])
+def _slot_counts(bits: int):
+    """Blocks of how many features fall to each of 2^bits slots, up to 255."""
+
+    def run(batches):
+        import zstandard
+
+        count = np.zeros(1 << bits, np.uint8)
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(1).slice(at, 500)]
+                slot, n = np.unique((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+                count[slot] = np.minimum(255, count[slot] + n)
+        if count.any():
+            parts = [zstandard.compress(x.tobytes(), 1) for x in count.reshape(-1, BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["block", "counts"])
+
+    return run
 
 
 def _summed(g):
-    total = sum((np.frombuffer(x, np.uint32).astype(np.int64) for x in g["counts"]), np.zeros(4096, np.int64))
-    return g.iloc[:1].assign(counts=[total.tobytes()])
+    import zstandard
 
+    total = np.zeros(BLOCK, np.int64)
+    for x in g["counts"]:
+        total += np.frombuffer(zstandard.decompress(x), np.uint8)
+    return g.iloc[:1].assign(counts=[zstandard.compress(np.minimum(255, total).astype(np.uint8).tobytes(), 1)])
 
-def _prefixes(common, num: int, den: int):
+
+def _prefixes(common, bits: int, num: int, den: int):
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 sizes, features, places = [], [], []
-                for x in part.column(2):
+                for x in part.column(1):
                     s = np.frombuffer(x.as_buffer(), np.uint64)
                     n = len(s) - (len(s) * num + den - 1) // den + 1
-                    first = s[np.lexsort((s, common.value[(s >> np.uint64(44)).astype(np.int64)]))[:n]]
+                    held = common.value[(s >> np.uint64(64 - bits)).astype(np.int64)]
+                    first = np.lexsort((s, held))[:n]
+                    place = np.flatnonzero(held[first] > 1)  # a slot of one is a feature that nothing shares
                     sizes.append(len(s))
-                    features.append(first.view(np.int64))
-                    places.append(np.arange(len(first)))
+                    features.append(s[first[place]].view(np.int64))
+                    places.append(place)
                 times = [len(f) for f in features]
-                each = [np.repeat(c, times) for c in (part.column(0).to_numpy(), part.column(1).to_numpy(), np.array(sizes, np.int64))]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, each), pa.array(np.concatenate(features)), pa.array(np.concatenate(places))], ["node", "label", "size", "feature", "place"])
+                each = [np.repeat(c, times) for c in (part.column(0).to_numpy(), np.array(sizes, np.int64))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, each), pa.array(np.concatenate(features)), pa.array(np.concatenate(places))], ["node", "size", "feature", "place"])
 
     return run
 
 
-def _prefix_pairs(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (u > v) of nodes (node, label, shingles) with different labels, with every pair that links among them.
+def _prefix_pairs(sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (u > v) of nodes of labels (node, label) with different labels, with every pair that links among them; sets has (key, shingles).
 
-    Features are ordered by how common their slot of a table of a fixed size is, rare first; any order is right, this
+    Features are ordered by how common their slot of a table of a bounded size is, rare first; any order is right, this
     one is quick. At the first feature a pair shares, at places i and j of sets of sizes a <= b, at most
     min(a - i, b - j) are shared in all, so it must reach num (a + b) / (num + den). Texts that share no more than what
     all of a large group share are thus no pair.
     """
-    nodes = stash(nodes, "nodes")
-    counts = nodes.mapInArrow(_slot_counts, "block int, counts binary").groupBy("block").applyInPandas(_summed, "block int, counts binary")
-    table = np.zeros(SLOTS, np.int64)
-    for block, blob in counts.collect():  # SLOTS numbers
-        table[block * 4096 : (block + 1) * 4096] = np.frombuffer(blob, np.int64)
-    common = nodes.sparkSession.sparkContext.broadcast(table)
-    placed = stash(nodes.mapInArrow(_prefixes(common, num, den), "node long, label long, size long, feature long, place long"), "prefixes")
+    import zstandard
+
+    n = (sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0) // 8
+    bits = max(16, min(SLOT_BITS, (4 * n).bit_length()))
+    counts = sets.select("key", "shingles").mapInArrow(_slot_counts(bits), "block int, counts binary").groupBy("block").applyInPandas(_summed, "block int, counts binary")
+    table = np.zeros(1 << bits, np.uint8)
+    for block, blob in counts.collect():  # 2^bits bytes at most
+        table[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    common = sets.sparkSession.sparkContext.broadcast(table)
+    placed = sets.select("key", "shingles").mapInArrow(_prefixes(common, bits, num, den), "node long, size long, feature long, place long")
+    placed = stash(placed.join(labels, "node"), "prefixes")
     a = placed.where(f"(size - place) * {num + den} >= 2 * size * {num}").select("feature", *(F.col(c).alias(c + "_a") for c in ("node", "label", "size", "place")))
     b = placed.select("feature", *(F.col(c).alias(c + "_b") for c in ("node", "label", "size", "place")))
     enough = f"(size_a <= size_b) and (size_b * {num} <= size_a * {den}) and least(size_a - place_a, size_b - place_b) * {num + den} >= (size_a + size_b) * {num}"
     met = a.join(b, (a["feature"] == b["feature"]) & (a["label_a"] != b["label_b"]) & F.expr(enough))
-    return met.select(F.greatest("node_a", "node_b").alias("u"), F.least("node_a", "node_b").alias("v")).distinct()
+    out = stash(met.select(F.greatest("node_a", "node_b").alias("u"), F.least("node_a", "node_b").alias("v")).distinct(), "more")
+    drop(placed)
+    return out
 
 
 def ngram_join(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -227,33 +246,38 @@ def ngram_join(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN
     wide = member.groupBy("sig").agg(F.count("*").alias("width"))
     degree = member.join(wide, "sig").groupBy("node").agg(F.sum("width").alias("degree"))
     member = stash(member.join(degree, "node"), "member")
+    drop(buckets)
     centre = member.groupBy("sig").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
     shared = member.join(centre, "sig").where("node <> hub").groupBy("node", "hub").count()
-    best = shared.groupBy("node").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub")).select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    nodes = stash(buckets.select("key").union(buckets.select("hub")).distinct().join(classes.select("key", "rep"), "key"), "nodes")
+    best = stash(shared.groupBy("node").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub")), "best")
+    nodes = member.select(F.col("node").alias("key")).distinct().join(classes.select("key", "rep"), "key")
+    nodes = stash(nodes.join(best.withColumnRenamed("node", "key"), "key", "left"), "nodes")
     count = nodes.count()
     if count:
         near = bitmap_filter(texts, F.col("doc_id"), nodes, F.col("rep"), count).select("text")
-        sets = near.mapInArrow(_sets(n), "key long, shingles binary").join(nodes.select("key"), "key", "left_semi").dropDuplicates(["key"])
+        sets = near.mapInArrow(_sets(n), "key long, shingles binary").join(nodes.select("key", "hub"), "key").dropDuplicates(["key"])
         sets = stash(sets, "sets")
         release_shuffles(spark)
 
-        def check(pairs: DataFrame) -> DataFrame:
-            left = sets.select(F.col("key").alias("u"), F.col("shingles").alias("x"))
-            right = sets.select(F.col("key").alias("v"), F.col("shingles").alias("y"))
-            both = pairs.join(right, "v").join(left, "u").select("u", "v", "x", "y")
-            return stash(both.mapInArrow(_verified(num, den), "u long, v long, linked boolean"), "pairs")
+        def check(left: DataFrame, hubs: DataFrame) -> DataFrame:
+            """Whether u and v of left (u, v, x) link; hubs are the distinct v."""
+            right = bitmap_filter(sets.select(F.col("key").alias("v"), F.col("shingles").alias("y")), F.col("v"), hubs, F.col("v"), hubs.count())
+            return stash(left.join(right, "v").select("u", "v", "x", "y").mapInArrow(_verified(num, den), "u long, v long, linked boolean"), "pairs")
 
-        first = check(best)
+        first = check(sets.where("hub is not null").select(F.col("key").alias("u"), F.col("hub").alias("v"), F.col("shingles").alias("x")), best.select(F.col("hub").alias("v")).distinct())
         release_shuffles(spark)
-        label = components(first.where("linked"))
+        label = components(first.where("linked").select("u", "v"))
         labelled = member.join(label, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
         mixed = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
         rest = stash(labelled.join(mixed, "sig", "left_semi").select("node", "label").distinct(), "mixed")
-        more = _prefix_pairs(rest.join(sets, rest["node"] == sets["key"]).select("node", "label", "shingles"), num, den)
+        more = _prefix_pairs(sets, rest, num, den)
         known = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        second = check(more.join(known, ["u", "v"], "left_anti"))
-        label = components(first.where("linked").union(second.where("linked")).select("u", "v"))
+        todo = stash(more.join(known, ["u", "v"], "left_anti"), "todo")
+        u = todo.select("u").distinct()
+        x = bitmap_filter(sets.select(F.col("key").alias("u"), F.col("shingles").alias("x")), F.col("u"), u, F.col("u"), u.count())
+        second = check(todo.join(x, "u"), todo.select("v").distinct())
+        label = components(first.where("linked").select("u", "v").union(second.where("linked").select("u", "v")))
+        drop(sets, rest, more, todo, first, second)
     else:
         label = spark.createDataFrame([], "node long, label long")
     named = label.join(classes.select(F.col("key").alias("node"), "rep"), "node").select("node", "label", "rep")
@@ -261,5 +285,6 @@ def ngram_join(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN
     linked = named.join(least, "label").select(F.col("node").alias("key"), "component")
     final = classes.select("key", "rep").join(linked, "key", "left").select("key", F.coalesce("component", "rep").alias("component"))
     final = stash(final, "final")  # read back, so that AQE may split the join at a large class
+    drop(classes, member, best, nodes)
     out = rows.where("n_shingles > 0").join(final, "key").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     return out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
