@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .text import utf8
 
-#: Bounds of what is learned from: documents a language, bytes of each, bytes of a dictionary. Block and level of encoding.
-PER_LANG, PER_DOC, DICT_BYTES, BLOCK, LEVEL = 64, 1024, 98_304, 4096, 6
+#: Bounds of what is learned: languages (the most frequent), documents a language, characters of each, bytes of a dictionary.
+LANGS, PER_LANG, PER_DOC, DICT_BYTES = 256, 64, 1024, 98_304
+#: Block and level of encoding.
+BLOCK, LEVEL = 4096, 6
 #: Texts under SHORT bytes are encoded behind the first CARRIER bytes of the dictionary, since alone they would be stored
 #: raw, and at a higher level.
 SHORT, CARRIER, FINE = 256, 200, 12
@@ -31,7 +33,9 @@ def held_out(modulus: int = 4, rest: int = 2):
 
 def learn(labelled: DataFrame, per_lang: int = PER_LANG) -> dict[str, bytes]:
     """{language: dictionary} from labelled (doc_id, text, lang): a bounded sample, the least hashes of doc_id and text per language."""
-    seen = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    often = labelled.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS)
+    names = [r.lang for r in often.collect()]
+    seen = labelled.where(F.col("lang").isin(names) & F.col("text").rlike(r"\p{L}"))
     pick = seen.select("lang", F.expr(f"substring(text, 1 + cast(pmod(xxhash64(doc_id), greatest(1, length(text) - {PER_DOC})) as int), {PER_DOC})").alias("part"), F.xxhash64("doc_id").alias("h"))
     top = pick.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))).where(F.col("r") <= per_lang)
     texts: dict[str, list[bytes]] = {}
