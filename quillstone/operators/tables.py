@@ -141,7 +141,7 @@ def place_words(words: DataFrame, regions: DataFrame) -> DataFrame:
     edges hold its left end and to the row of the nearest centre; words of a cell read by line, then from the left.
     """
     r = regions.select("table_id", "page", "row_edges", "col_edges")
-    inside = words.join(F.broadcast(r), "page").where("top >= row_edges[0] - 1 and top < element_at(row_edges, -1) and x0 >= col_edges[0] and x0 < element_at(col_edges, -1)")  # regions: a registry of a few tables
+    inside = words.join(r, "page").where("top >= row_edges[0] - 1 and top < element_at(row_edges, -1) and x0 >= col_edges[0] and x0 < element_at(col_edges, -1)")
     middle = F.expr("(top + bottom) / 2")
     centres = F.expr("transform(sequence(0, size(row_edges) - 2), i -> (row_edges[i] + row_edges[i + 1]) / 2)")
     gap = F.transform(centres, lambda c, i: F.struct(F.abs(c - middle).alias("d"), i.alias("i")))
