@@ -73,7 +73,7 @@ def bitmap_hits(df: DataFrame, key, keys: DataFrame, key_of_keys, n_keys: int, m
     broadcast side has at most max_bits / 64 rows whatever the input. A fuller bitmap only hits more rows.
     """
     bits = 1 << 16
-    while bits < 16 * n_keys and bits < max_bits:
+    while bits < 64 * n_keys and bits < max_bits:
         bits *= 2
 
     def slot(c):

@@ -9,8 +9,8 @@ group is a signature. Parts are ranges of hashes, so a sorted set is cut by bina
 A subset that holds nothing would be shared by strangers, so it gives no signature; x groups of slack make up for it.
 A set with more than x such groups also emits its prefix elements, which any two such sets that link must share. So
 candidates are complete. They are then checked exactly: each set against the most connected member of its buckets that
-it shares most signatures with, then, where buckets still hold several components, across components only, leaving out
-the pairs that a bound by rare features rules out.
+it shares most signatures with, then members of buckets across components only, leaving out the pairs that a bound by rare features
+rules out.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from .text import Words, chunks, mix
 #: Similarity in hundredths and shingle length.
 NUM, DEN, SHINGLE = 85, 100, 4
 #: Upper over lower size of a band.
-BAND = 1.3
+BAND = 1.4
 #: Bits of slots of the table that tells common features from rare ones, at most; slots of a block of it.
 SLOT_BITS, BLOCK = 24, 1 << 16
 _ARMS = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -63,13 +63,13 @@ def bands(size: int, num: int, den: int) -> list[tuple[int, int]]:
 
 
 def signatures(s: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
-    """The signatures of one sorted set of 64-bit features."""
+    """The signatures of one sorted set of 64-bit features, as 48 bits: two that collide are one more candidate to check."""
     out = []
     if len(s):
         sums = np.zeros(len(s) + 1, np.uint64)
         np.cumsum(mix(s + _ARMS[4]), out=sums[1:])
     for band, k in bands(len(s), num, den):
-        slack = 1 + k // 40
+        slack = 1 + k // 24
         n1 = k // 2 + 1 + slack
         part = ((s >> np.uint64(32)) * np.uint64(3 * n1)) >> np.uint64(32)
         cut = np.searchsorted(part, np.arange(3 * n1 + 1, dtype=np.uint64))
@@ -80,7 +80,7 @@ def signatures(s: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
         out.append(mix(sig.ravel() + slot)[~empty.ravel()])
         if empty.any(1).sum() > slack:
             out.append(mix(s[: len(s) - (len(s) * num + den - 1) // den + 1] + mix(np.array([band + 1], np.uint64) * _ARMS[5])))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return np.concatenate(out) >> np.uint64(16) if out else np.zeros(0, np.uint64)
 
 
 def _set_key(s: np.ndarray) -> tuple[int, int]:
@@ -243,8 +243,7 @@ def ngram_join(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN
     )
     release_shuffles(spark)
     member = buckets.select("sig", F.col("key").alias("node")).unionByName(buckets.select("sig", F.col("hub").alias("node")).distinct())
-    wide = member.groupBy("sig").agg(F.count("*").alias("width"))
-    degree = member.join(wide, "sig").groupBy("node").agg(F.sum("width").alias("degree"))
+    degree = member.groupBy("node").agg(F.count("*").alias("degree"))
     member = stash(member.join(degree, "node"), "member")
     drop(buckets)
     centre = member.groupBy("sig").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
@@ -267,9 +266,7 @@ def ngram_join(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN
         first = check(sets.where("hub is not null").select(F.col("key").alias("u"), F.col("hub").alias("v"), F.col("shingles").alias("x")), best.select(F.col("hub").alias("v")).distinct())
         release_shuffles(spark)
         label = components(first.where("linked").select("u", "v"))
-        labelled = member.join(label, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-        mixed = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-        rest = stash(labelled.join(mixed, "sig", "left_semi").select("node", "label").distinct(), "mixed")
+        rest = nodes.select(F.col("key").alias("node")).join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
         more = _prefix_pairs(sets, rest, num, den)
         known = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         todo = stash(more.join(known, ["u", "v"], "left_anti"), "todo")
@@ -277,7 +274,7 @@ def ngram_join(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN
         x = bitmap_filter(sets.select(F.col("key").alias("u"), F.col("shingles").alias("x")), F.col("u"), u, F.col("u"), u.count())
         second = check(todo.join(x, "u"), todo.select("v").distinct())
         label = components(first.where("linked").select("u", "v").union(second.where("linked").select("u", "v")))
-        drop(sets, rest, more, todo, first, second)
+        drop(sets, more, todo, first, second)
     else:
         label = spark.createDataFrame([], "node long, label long")
     named = label.join(classes.select(F.col("key").alias("node"), "rep"), "node").select("node", "label", "rep")
