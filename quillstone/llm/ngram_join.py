@@ -62,8 +62,8 @@ def bands(size: int, num: int, den: int) -> list[tuple[int, int]]:
     return out
 
 
-def signatures(s: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
-    """The signatures of one sorted set of 64-bit features, as 48 bits: two that collide are one more candidate to check."""
+def signatures(s: np.ndarray, num: int = NUM, den: int = DEN, bits: int = 64) -> np.ndarray:
+    """The signatures of one sorted set of 64-bit features, cut to bits: two that collide are one more candidate to check."""
     out = []
     if len(s):
         sums = np.zeros(len(s) + 1, np.uint64)
@@ -80,7 +80,7 @@ def signatures(s: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
         out.append(mix(sig.ravel() + slot)[~empty.ravel()])
         if empty.any(1).sum() > slack:
             out.append(mix(s[: len(s) - (len(s) * num + den - 1) // den + 1] + mix(np.array([band + 1], np.uint64) * _ARMS[5])))
-    return np.concatenate(out) >> np.uint64(16) if out else np.zeros(0, np.uint64)
+    return np.concatenate(out) >> np.uint64(64 - bits) if out else np.zeros(0, np.uint64)
 
 
 def _set_key(s: np.ndarray) -> tuple[int, int]:
@@ -98,7 +98,7 @@ def _profile(n: int):
     return run
 
 
-def _signed(n: int, num: int, den: int):
+def _signed(n: int, num: int, den: int, bits: int):
     def run(batches):
         last, done = None, set()
         for rows, w in chunks(batches):
@@ -109,7 +109,7 @@ def _signed(n: int, num: int, den: int):
                     done = set()
                 if len(s) and key not in done:  # a task's own copies add nothing
                     done.add(key)
-                    got = signatures(s, num, den)
+                    got = signatures(s, num, den, bits)
                     sigs.append(got)
                     keys.append(np.full(len(got), key, np.int64))
             if sigs:
@@ -236,14 +236,17 @@ def ngram_join(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN
     classes = stash(classes, "classes")
     if classes.where("c0 <> c1").limit(1).count():
         raise RuntimeError("two different shingle sets share a 64-bit key")
+    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    bits = min(64, max(43, total.bit_length() + 15))  # chance puts one signature in some ten thousand into another's bucket
     by_sig = Window.partitionBy("sig").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     buckets = stash(
-        texts.select("text").mapInArrow(_signed(n, num, den), "sig long, key long").select("sig", "key", F.first("key").over(by_sig).alias("hub")).where("key <> hub").distinct(),
+        texts.select("text").mapInArrow(_signed(n, num, den, bits), "sig long, key long").select("sig", "key", F.first("key").over(by_sig).alias("hub")).where("key <> hub").distinct(),
         "buckets",
     )
     release_shuffles(spark)
     member = buckets.select("sig", F.col("key").alias("node")).unionByName(buckets.select("sig", F.col("hub").alias("node")).distinct())
-    degree = member.groupBy("node").agg(F.count("*").alias("degree"))
+    wide = member.groupBy("sig").agg(F.count("*").alias("width"))
+    degree = member.join(wide, "sig").groupBy("node").agg(F.sum("width").alias("degree"))
     member = stash(member.join(degree, "node"), "member")
     drop(buckets)
     centre = member.groupBy("sig").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
