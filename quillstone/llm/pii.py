@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import bitmap_filter, stash
 
-#: Share of an entity's information content that a term may give away; distinct surroundings it takes to tell; words on either side.
-DISCLOSED, SUPPORT, NEAR = 0.9, 3, 5
+#: Share of an entity's information content that a term may give away; distinct documents it takes to tell (in one alone every rare word would); words on either side.
+DISCLOSED, SUPPORT, NEAR = 0.9, 2, 5
 
 _C, _D = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: kind: (pattern in possessive form, so that long runs take linear time and constant stack; quick test; test of a match m)
@@ -64,28 +64,35 @@ def _terms(words: str) -> str:
     return rf"filter(transform({words}, w -> regexp_replace(lower(w), r'^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '')), w -> length(w) > 2 and not w rlike '[0-9@]')"
 
 
+def _entity() -> Column:
+    return F.concat_ws(":", F.col("x.kind"), F.when(F.col("x.kind").isin("card", "phone"), F.regexp_replace("x.value", "[^0-9]", "")).otherwise(F.lower("x.value")))
+
+
+def _key() -> Column:
+    """What texts share that are equal but for white space."""
+    return F.unhex(F.sha2(F.trim(F.regexp_replace("t", r"[\x20\x09-\x0D]+", " ")), 256))
+
+
 def disclosing(found: DataFrame, texts: DataFrame, share: float = DISCLOSED, support: int = SUPPORT, near: int = NEAR) -> DataFrame:
     """(entity, term) pairs whose mutual information passes share of the entity's content.
 
-    found has rid, t, base of texts with spans, texts all texts (t). A surrounding counts once however often it is copied.
+    found has rid, t, base of texts with spans, texts all texts (t). Every count is of distinct documents: texts that are
+    equal but for white space are one.
     """
     ws = r"r'[\x20\x09-\x0D]+'"
     side = f"concat(reverse(slice(reverse(split(substring(t, greatest(1, int(x.start) - 95), int(x.start) - greatest(1, int(x.start) - 95) + 1), {ws})), 1, {near})), slice(split(substring(t, int(x.stop) + 1, 96), {ws}), 1, {near}))"
-    entity = F.concat_ws(":", F.col("x.kind"), F.when(F.col("x.kind").isin("card", "phone"), F.regexp_replace("x.value", "[^0-9]", "")).otherwise(F.lower("x.value")))
-    around = found.select("rid", F.explode("base").alias("x"), "t").select("rid", entity.alias("entity"), F.expr(f"array_distinct({_terms(side)})").alias("terms"))
+    around = found.select(_key().alias("key"), F.explode("base").alias("x"), "t").select("key", _entity().alias("entity"), F.expr(f"array_distinct({_terms(side)})").alias("terms"))
     around = stash(around, "around")
-    pairs = around.select("entity", F.explode("terms").alias("term"), F.xxhash64("terms").alias("w"), "rid")
-    often = pairs.select("entity", "term", "w").distinct().groupBy("entity", "term").count().where(F.col("count") >= support)
-    often = stash(often.select("entity", "term"), "often")
-    terms = stash(often.select("term").distinct(), "terms")
+    pairs = around.select("entity", F.explode("terms").alias("term"), "key").distinct()
+    of_both = stash(pairs.groupBy("entity", "term").agg(F.count("*").alias("nb")).where(F.col("nb") >= support), "often")
+    terms = stash(of_both.select("term").distinct(), "terms")
     n = terms.count()
     if not n:
-        return often
-    total = texts.count()
-    word = texts.select(F.explode(F.expr(f"array_distinct({_terms(f'split(t, {ws})')})")).alias("term"))
-    of_term = bitmap_filter(word, F.col("term"), terms, F.col("term"), n).groupBy("term").agg(F.count("*").alias("nt"))
-    of_entity = around.select("entity", "rid").distinct().groupBy("entity").agg(F.count("*").alias("ne"))
-    of_both = pairs.select("entity", "term", "rid").distinct().join(often, ["entity", "term"]).groupBy("entity", "term").agg(F.count("*").alias("nb"))
+        return of_both.select("entity", "term")
+    total = texts.select(_key().alias("key")).distinct().count()
+    word = texts.select(_key().alias("key"), F.explode(F.expr(f"array_distinct({_terms(f'split(t, {ws})')})")).alias("term"))
+    of_term = bitmap_filter(word, F.col("term"), terms, F.col("term"), n).distinct().groupBy("term").agg(F.count("*").alias("nt"))
+    of_entity = around.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("ne"))
     judged = of_both.join(of_term, "term").join(of_entity, "entity")
     gives = F.log2(F.col("nb") * total / (F.col("nt") * F.col("ne"))) / F.log2(F.lit(float(total)) / F.col("ne"))
     return judged.where(F.col("ne") < total).where(gives >= share).select("entity", "term")
@@ -97,8 +104,7 @@ def _rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = stash(base.select("rid", "doc_id", "base", F.when(F.size("base") > 0, F.col("t")).alias("t")), "spans")
     found = rows.where("t is not null")
     told = stash(disclosing(found, docs.select(F.coalesce("text", F.lit("")).alias("t"))), "told")
-    entity = F.concat_ws(":", F.col("x.kind"), F.when(F.col("x.kind").isin("card", "phone"), F.regexp_replace("x.value", "[^0-9]", "")).otherwise(F.lower("x.value")))
-    mine = found.select("rid", F.explode("base").alias("x")).select("rid", entity.alias("entity")).join(told, "entity").groupBy("rid").agg(F.collect_set("term").alias("terms"))
+    mine = found.select("rid", F.explode("base").alias("x")).select("rid", _entity().alias("entity")).join(told, "entity").groupBy("rid").agg(F.collect_set("term").alias("terms"))
     fold = rf"""aggregate(
         regexp_extract_all(t, r'[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+', 0),
         cast(named_struct('pos', 0L, 'found', array()) as struct<pos:bigint,found:array<{_SPAN}>>),

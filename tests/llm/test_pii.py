@@ -58,5 +58,14 @@ def test_terms(spark):
     assert "orblatt" not in clean[300] and "[EMAIL]" in clean[300] and clean[5] == dict(rows)[5]
 
 
+def test_terms_of_a_signature(spark):
+    filler = "one two three four five six seven eight nine and ten or call contact".split()
+    rows = [(i, " ".join(filler[i % 9 :] + filler[: i % 6])) for i in range(200)]
+    rows += [(300 + i, f"{filler[i]} {filler[i + 3]} two three\nContact Jane Doe at jane@x.org or call one two three") for i in range(2)]
+    rows += [(400 + i, f"one two{' ' * i} three Contact Quux at jo@x.org or call") for i in range(1, 9)]  # copies but for blanks are one document
+    got = {x.doc_id: x for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[300 + i].n_term for i in range(2)] == [2, 2] and all(x.n_term == 0 for d, x in got.items() if d < 300 or d > 400)
+
+
 def test_empty(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).collect() == []
