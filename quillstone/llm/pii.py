@@ -2,8 +2,7 @@
 
 Base spans are patterns checked by value. Terms are then judged by information theory (Sanchez and Batet, 2016): the
 pointwise mutual information of a term and a protected entity, over the entity's own information content, says how much
-of the entity the term gives away. Co-occurrence is counted near the entity over the corpus, the term's documents over
-all texts. Where a term gives away more than a threshold, its occurrences in the documents of the entity are spans too;
+of the entity the term gives away. Co-occurrence and the term's documents are both counted over whole texts. Where a term gives away more than a threshold, its occurrences in the documents of the entity are spans too;
 sanitise() generalises entities to their kind and removes such terms.
 """
 
@@ -12,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_filter, stash
+from .common import bitmap_filter, bitmap_hits, stash
 
-#: Share of an entity's information content that a term may give away; distinct documents it takes to tell (in one alone every rare word would); words on either side.
-DISCLOSED, SUPPORT, NEAR = 0.9, 2, 5
+#: Share of an entity's information content that a term may give away; distinct documents it takes to tell (in one alone every rare word would).
+DISCLOSED, SUPPORT = 0.9, 2
 
 _C, _D = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: kind: (pattern in possessive form, so that long runs take linear time and constant stack; quick test; test of a match m)
@@ -73,29 +72,40 @@ def _key() -> Column:
     return F.unhex(F.sha2(F.trim(F.regexp_replace("t", r"[\x20\x09-\x0D]+", " ")), 256))
 
 
-def disclosing(found: DataFrame, texts: DataFrame, share: float = DISCLOSED, support: int = SUPPORT, near: int = NEAR) -> DataFrame:
+def disclosing(found: DataFrame, texts: DataFrame, share: float = DISCLOSED, support: int = SUPPORT) -> DataFrame:
     """(entity, term) pairs whose mutual information passes share of the entity's content.
 
     found has rid, t, base of texts with spans, texts all texts (t). Every count is of distinct documents: texts that are
-    equal but for white space are one.
+    equal but for white space are one. Terms are dropped early only where no count of pairs could make them pass.
     """
-    ws = r"r'[\x20\x09-\x0D]+'"
-    side = f"concat(reverse(slice(reverse(split(substring(t, greatest(1, int(x.start) - 95), int(x.start) - greatest(1, int(x.start) - 95) + 1), {ws})), 1, {near})), slice(split(substring(t, int(x.stop) + 1, 96), {ws}), 1, {near}))"
-    around = found.select(_key().alias("key"), F.explode("base").alias("x"), "t").select("key", _entity().alias("entity"), F.expr(f"array_distinct({_terms(side)})").alias("terms"))
-    around = stash(around, "around")
-    pairs = around.select("entity", F.explode("terms").alias("term"), "key").distinct()
-    of_both = stash(pairs.groupBy("entity", "term").agg(F.count("*").alias("nb")).where(F.col("nb") >= support), "often")
-    terms = stash(of_both.select("term").distinct(), "terms")
-    n = terms.count()
-    if not n:
-        return of_both.select("entity", "term")
-    total = texts.select(_key().alias("key")).distinct().count()
-    word = texts.select(_key().alias("key"), F.explode(F.expr(f"array_distinct({_terms(f'split(t, {ws})')})")).alias("term"))
-    of_term = bitmap_filter(word, F.col("term"), terms, F.col("term"), n).distinct().groupBy("term").agg(F.count("*").alias("nt"))
-    of_entity = around.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("ne"))
-    judged = of_both.join(of_term, "term").join(of_entity, "entity")
-    gives = F.log2(F.col("nb") * total / (F.col("nt") * F.col("ne"))) / F.log2(F.lit(float(total)) / F.col("ne"))
-    return judged.where(F.col("ne") < total).where(gives >= share).select("entity", "term")
+    def words(df):
+        return df.select("key", F.explode(F.expr(rf"array_distinct({_terms(r"split(t, r'[\x20\x09-\x0D]+')")})")).alias("term"))
+
+    holds = found.select(_key().alias("key"), F.explode("base").alias("x")).select("key", _entity().alias("entity")).distinct()
+    holds = stash(holds, "holds")
+    of_entity = holds.groupBy("entity").agg(F.count("*").alias("ne")).where(F.col("ne") >= support)
+    texts = texts.withColumn("key", _key())
+    alike = stash(texts.groupBy("key").agg((F.count("*") > 1).alias("again")), "keys")
+    total = alike.count()
+    holds = stash(holds.join(of_entity.where(F.col("ne") < total), "entity"), "shared")
+    rarest = holds.agg(F.min("ne"), F.max("ne")).first()
+    if rarest[0] is None:
+        return holds.select("entity", F.lit("").alias("term"))
+    content = lambda n: F.log2(F.lit(float(total)) / n)
+    inside = stash(words(found.withColumn("key", _key()).join(holds.select("key").distinct(), "key")).distinct(), "inside")
+    terms = stash(inside.groupBy("term").agg(F.count("*").alias("ni")).where(F.col("ni") >= support), "terms")
+    # Only texts that may have copies need their key to be counted once; the terms of all others combine before the shuffle.
+    again = alike.where("again")
+    once = bitmap_hits(texts, F.col("key"), again, F.col("key"), again.count()).withColumn("key", F.when(F.col("__hit"), F.col("key")))
+    every = bitmap_filter(words(once), F.col("term"), terms, F.col("term"), terms.count())
+    of_term = every.groupBy("term", "key").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum(F.when(F.col("key").isNull(), F.col("n")).otherwise(1)).alias("nt")).join(terms, "term")
+    # nb is at most ne and ni: a term passes with no entity where it doesn't pass with the most or the least frequent one.
+    of_term = of_term.where(content(F.col("nt")) >= share * content(F.lit(rarest[1])) - 1e-9).where(F.log2(F.col("ni") / F.col("nt")) >= (share - 1) * content(F.lit(rarest[0])) - 1e-9)
+    inside = stash(inside.join(stash(of_term, "rare"), "term"), "inside")
+    able = (content(F.col("nt")) >= share * content(F.col("ne")) - 1e-9) & (F.log2(F.col("ni") / F.col("nt")) >= (share - 1) * content(F.col("ne")) - 1e-9)
+    both = holds.join(inside, "key").where(able).groupBy("entity", "term", "ne", "nt").agg(F.count("*").alias("nb")).where(F.col("nb") >= support)
+    gives = F.log2(F.col("nb") * total / (F.col("nt") * F.col("ne"))) / content(F.col("ne"))
+    return both.where(gives >= share).select("entity", "term")
 
 
 def _rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -67,5 +68,32 @@ def test_terms_of_a_signature(spark):
     assert [got[300 + i].n_term for i in range(2)] == [2, 2] and all(x.n_term == 0 for d, x in got.items() if d < 300 or d > 400)
 
 
+def test_terms_of_the_whole_text(spark):
+    filler = "one two three four five six seven eight nine and ten".split()
+    rows = [(i, " ".join(filler[i % 7 :] + filler[: i % 5])) for i in range(200)]
+    rows += [(300 + i, f"Zorblatt Works\n{' '.join(filler[i:] * 9)}\nName:{' ' * 120}kim@x.org {' '.join(filler[: i + 1] * 9)}\nquux") for i in range(4)]
+    rows += [(400 + i, f"{filler[i]} six ten kim@x.org") for i in range(1)]
+    got = {x.doc_id: x for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[300 + i].n_term for i in range(4)] == [4] * 4  # zorblatt, works, name, quux
+    assert all(x.n_term == 0 for d, x in got.items() if d < 300 or d == 400)
+
+
+def test_disclosing_equals_brute_force(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choices([f"w{'abcdefghij'[j % 10]}{'klmnopq'[j // 10]}" for j in range(70)], [1 / (j + 1) for j in range(70)], k=r.randint(1, 30)) + [f"p{r.randint(1, 9)}@x.org"] * (r.random() < 0.3))) for i in range(400)]
+    rows += rows[:40]
+    docs = {(frozenset(w for w in t.split() if "@" not in w), frozenset(w for w in t.split() if "@" in w), t) for _, t in rows}
+    n = lambda f: sum(map(f, docs))
+    want = set()
+    for e in {e for d in docs for e in d[1]}:
+        for w in {w for d in docs if e in d[1] for w in d[0]}:
+            ne, nt, nb = n(lambda d: e in d[1]), n(lambda d: w in d[0]), n(lambda d: e in d[1] and w in d[0])  # noqa: B023
+            if nb >= 2 and math.log2(nb * len(docs) / (nt * ne)) / math.log2(len(docs) / ne) >= 0.3:
+                want.add(("email:" + e, w))
+    t = spark.createDataFrame(rows, "rid long, text string")
+    got = {tuple(x) for x in pii.disclosing(pii.base_spans(t).where("size(base) > 0"), t.select(pii.F.col("text").alias("t")), 0.3).collect()}
+    assert len(want) > 3 and got == want
+
+
 def test_empty(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).collect() == []
