@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 # Elements of HTML by how they are read.
 DROPPED = frozenset("script style noscript template svg math iframe object canvas head title select option textarea button datalist audio video map".split())
-NAMED = frozenset("nav header footer aside form dialog menu".split())
+NAMED = frozenset("nav header footer aside dialog menu".split())
 MAIN = frozenset("article main".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -28,6 +28,14 @@ BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs cookie cookies comment comments complementary consent contentinfo copyright dialog disclaimer disqus footer header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion related reply replies respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 
+# Words that may stand beside them in one name; those of them that never name a wrapper of the whole page.
+NEUTRAL = frozenset(
+    "area articles bar block body bottom box btn button buttons card col column container content footer form global group head header icons inner item items left link links list main module page panel posts primary right row secondary section site top visually wrap wrapper".split()
+)
+CLOSED = frozenset("ad ads adv advert adverts advertisement advertising comment comments cookie cookies disqus hidden replies reply respond sponsored".split())
+#: Words that are no link a form must have for each of its controls to be text; words and link density of a long block.
+PER_CONTROL, LONG, LINKED = 15, 20, 0.33
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|template|textarea|title|noscript|iframe|svg)\b[^>]*(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/a-zA-Z][^>]*>",
@@ -97,31 +105,42 @@ def decide(node, row) -> int:
     return node
 
 
-def _is_boilerplate(tag: str, attrs: str) -> bool:
+def _named(tag: str, attrs: str) -> int:
+    """2 if an element is boilerplate itself, 1 if only its name says so, which a wrapper of the whole page may have too, else 0."""
     if tag in NAMED:
-        return True
+        return 2
     if not attrs or tag in ("html", "body", "main"):
-        return False
+        return 0
+    most = 0
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return 2
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return 2
             continue
-        words = {w.lower() for w in _PART.findall(value)}
-        if words & (BOILERPLATE if tag != "article" else {"comment", "comments", "reply", "ad", "sponsored"}):
-            return True
-    return False
+        for token in value.split():
+            words = {w.lower() for w in _PART.findall(token)}
+            if tag == "article":
+                if words & {"comment", "comments", "reply", "ad", "sponsored"}:
+                    return 2
+            elif words & BOILERPLATE and words <= BOILERPLATE | NEUTRAL:
+                most = max(most, 2 if words & CLOSED else 1)
+    return most
 
 
 def blocks(html: str) -> list[tuple[str, int, float, int]]:
-    """(text, words, link density, place) of each text block of a page in order."""
+    """(text, words, link density, place) of each text block of a page in order.
+
+    A name counts for nothing where it wraps what there is: an article in it is the page's article if no other is and it
+    has more text than the rest, and its long blocks with few links are text on a page that has no other.
+    """
     out: list[list] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, in boilerplate, in article
+    stack: list[tuple[str, int, bool, int]] = []  # tag, 2 in boilerplate or 1 in a part that is named so, in article, form
     text: list[str] = []
     linked: list[str] = []
+    forms: list[list] = [[0, 0, 0, True]]  # controls, words, words of links, holds an article
     in_link, article = 0, False
 
     def flush():
@@ -130,8 +149,11 @@ def blocks(html: str) -> list[tuple[str, int, float, int]]:
         links = len(unescape("".join(linked)).split())
         linked.clear()
         if words:
-            _, bad, main = stack[-1] if stack else ("", False, False)
-            out.append([" ".join(words), len(words), min(1.0, links / len(words)), -1 if bad else 2 if main else 0])
+            _, bad, main, form = stack[-1] if stack else ("", 0, False, 0)
+            out.append([" ".join(words), len(words), min(1.0, links / len(words)), bad, main, form])
+            if bad < 2:
+                forms[form][1] += len(words)
+                forms[form][2] += min(links, len(words))
 
     def add(s):
         text.append(s)
@@ -149,8 +171,12 @@ def blocks(html: str) -> list[tuple[str, int, float, int]]:
             add(html[at : m.start()])
         at = m.end()
         if m["raw"] or not m["tag"]:
+            if stack and (m["raw"] or "").lower() == "textarea":
+                forms[stack[-1][3]][0] += 1
             continue
         tag = m["tag"].lower()
+        if stack and not m["end"] and (tag in ("select", "button") or (tag == "input" and not re.search(r"""type\s*=\s*["']?hidden""", m["attrs"], re.I))):
+            forms[stack[-1][3]][0] += 1
         if tag == "br":
             add(" ")
         elif tag == "a":
@@ -165,28 +191,55 @@ def blocks(html: str) -> list[tuple[str, int, float, int]]:
                         stack.pop()
                 elif stack and stack[-1][0] == "p":
                     stack.pop()
-                _, bad, main = stack[-1] if stack else ("", False, False)
-                main = main or tag in MAIN
-                article = article or tag in MAIN
-                stack.append((tag, bad or tag in DROPPED or _is_boilerplate(tag, m["attrs"]), main))
+                _, bad, main, form = stack[-1] if stack else ("", 0, False, 0)
+                if tag == "form":
+                    form = len(forms)
+                    forms.append([0, 0, 0, False])
+                named = 2 if tag in DROPPED else _named(tag, m["attrs"])
+                bad = max(bad, 2 if named and main else named)
+                if tag in MAIN and bad < 2:
+                    main, forms[form][3] = True, True
+                    article = article or not bad
+                stack.append((tag, bad, main, form))
         elif m["end"]:
             if any(s[0] == tag for s in stack):
                 flush()
                 close(tag)
-        elif m["attrs"] and tag not in VOID and not m["attrs"].endswith("/") and _is_boilerplate(tag, m["attrs"]):
+        elif m["attrs"] and tag not in VOID and not m["attrs"].endswith("/") and _named(tag, m["attrs"]):
             flush()
-            stack.append((tag, True, stack[-1][2] if stack else False))
+            stack.append((tag, 2, *(stack[-1][2:] if stack else (False, 0))))
     if at < len(html):
         add(html[at:])
     flush()
-    return [(t, n, d, 1 if place == 0 and not article else place) for t, n, d, place in out]
+    for b in out:
+        controls, words, links, holds = forms[b[5]]
+        if not holds and (words - links < PER_CONTROL * max(1, controls) or links > words / 2):
+            b[3] = 2
 
+    def placed(lifted):
+        inside = article or any(b[4] for b in lifted)
+        free = set(map(id, lifted))
+        return [(b[0], b[1], b[2], -1 if b[3] and id(b) not in free else 2 if b[4] else 0 if inside else 1) for b in out]
 
-def main_text(html: str | None) -> str:
-    found, t = blocks(html or ""), tree()
-    edge = ("", 0, 0.0, 0)
+    found = placed([])
+    if not article and any(b[3] == 1 for b in out):
+        inner = [b for b in out if b[3] == 1 and b[4]]
+        rest = sum(b[1] for b in _kept(found))
+        if inner and sum(b[1] for b in _kept(placed(inner))) >= rest:
+            return placed(inner)
+        if not rest:
+            return placed([b for b in out if b[3] == 1 and b[1] >= LONG and b[2] < LINKED])
+    return found
+
+
+def _kept(found: list) -> list:
+    t, edge = tree(), ("", 0, 0.0, 0)
     around = [edge, *found, edge]
-    return " ".join(b[0] for p, b, n in zip(around, found, around[2:], strict=False) if decide(t, (b[1], b[2], p[1], p[2], n[1], n[2], b[3])))
+    return [b for p, b, n in zip(around, found, around[2:], strict=False) if decide(t, (b[1], b[2], p[1], p[2], n[1], n[2], b[3]))]
+
+
+def main_text(html: str | None) -> str:
+    return " ".join(b[0] for b in _kept(blocks(html or "")))
 
 
 def extract(pages: DataFrame) -> DataFrame:

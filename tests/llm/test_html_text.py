@@ -24,6 +24,20 @@ def test_without_article():
     assert main_text(page) == " ".join((body * 6).split())
 
 
+def test_wrappers_with_names_of_boilerplate():
+    text = "This is a long paragraph of plain text that tells a story and does not hold a single link at all in it."
+    long = " ".join([text] * 3)
+    story = f"<article><h1>Head</h1><p>{text}</p></article>"
+    for a in ("<div class='layout with-sidebar'>", "<div class=no-sidebar>", "<div class=has-header>", "<div id=page class='lg:hidden-x search-results'>", "<div class=overlay>", "<div class=search><div class=widget>"):
+        assert main_text(f"<body><nav><a>Home</a></nav>{a}{story}<div class=sidebar><p>Bar.</p></div></div>") == f"Head {text}", a
+    form = f"<form id=aspnetForm><input type=hidden name=v><div class=search><input><button>Go</button></div><ul><li><a>Home</a></ul>{{}}<div><p>{long}</p><p>{long}</p></div></form>"
+    assert main_text(form.format("")) == f"{long} {long}" and main_text(form.format(story)) == f"Head {text}"
+    assert main_text(f"<div class=overlay><ul><li><a>Home</a></ul><p>{long}</p><p>{long}</p></div>") == f"{long} {long}"
+    for a in ("<div class=related>", "<aside>", "<div hidden>", "<div class=commentList>", "<div class='site-header'>"):
+        assert main_text(f"{story}{a}<article><p>{text} Other.</p></article></div></aside>") == f"Head {text}", a
+    assert main_text(f"{story[:-10]}<form>Leave a reply. Your address is not shown.<input><textarea></textarea><button>Go</button></form></article>") == f"Head {text}"
+
+
 def test_odd_input(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p"), (4, "u", "<!-- open"), (5, "u", "<div " * 3000), (6, "u", "<article>" + "<p>x &lt;b&gt; y" * 5000), (6, "u", "<article>a</article>"), (None, "u", "<article>a</article>")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, text string")
