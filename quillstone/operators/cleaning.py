@@ -66,15 +66,24 @@ def drop_figure_labels(c: Column, reasons: Column) -> Column:
 
 
 def drop_table_copies(c: Column, matrices: Column) -> Column:
-    """Text without the span from a table's first to its last full body row, cells told apart by any white space."""
+    """Text without the first span from a table's first to its last full body row, or of all its cells if it has at most 60.
+
+    Cells are told apart by any white space, in either case; a single body row alone is not removed.
+    """
     quote = lambda v: F.regexp_replace(normalise_line(v), r"([\\.\[\]{}()*+?^$|\-])", r"\\$1")
     cells = lambda r: F.filter(F.transform(r, quote), lambda x: x != "")
+    whole = lambda r: F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), F.concat_ws(r"\s*", F.transform(r, lambda x: F.regexp_replace(x, " ", r"\\s*"))), F.lit(r"(?![\p{L}\p{N}_])"))
 
     def cut(text, m):
         body = F.filter(F.transform(F.slice(m, 2, 100_000), cells), lambda r: F.size(r) >= 2)
-        row = lambda r: F.concat_ws(r"\s*", F.transform(r, lambda x: F.regexp_replace(x, " ", r"\\s*")))
-        one = F.concat(F.lit(r"(?s)[ \t]*(?<![\p{L}\p{N}_])"), row(F.try_element_at(body, F.lit(1))), F.lit(".{0,4000}?"), row(F.try_element_at(body, F.lit(-1))), F.lit(r"(?![\p{L}\p{N}_])[ \t]*"))
-        return F.when(F.size(body) >= 2, strip(F.regexp_replace(text, one, F.lit(" ")))).otherwise(text)
+        every = F.flatten(F.transform(m, cells))
+        # The first row is settled once found, so that a missing last row takes one pass over the rest.
+        head, tail = F.lit(r"(?isu)\A(?>(.*?)[ \t]*"), F.lit(r"[ \t]*")
+        rows = F.concat(head, whole(F.try_element_at(body, F.lit(1))), F.lit(").*?"), whole(F.try_element_at(body, F.lit(-1))), tail)
+        small = F.concat(head, whole(every), F.lit(")"), tail)
+        drop = lambda pattern: F.regexp_replace(text, pattern, F.lit("$1 "))
+        found = F.when((F.size(body) >= 2) & F.rlike(text, rows), drop(rows)).when(F.size(every).between(1, 60) & F.rlike(text, small), drop(small))
+        return strip(F.coalesce(found, text))
 
     return F.aggregate(F.coalesce(matrices, F.array().cast("array<array<array<string>>>")), c, cut)
 

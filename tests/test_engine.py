@@ -213,3 +213,15 @@ def test_overlay_and_layers(spark):
 def test_families_tie_to_the_first(spark):
     d = spark.createDataFrame([("operating margin and employees",)], "t string")
     assert d.select(semantic.statement_family("t")).first()[0] in ("ratio",)
+
+
+def test_table_copies_of_any_length(spark):
+    table = [["Item", "A"], ["Net sales", "10"], ["Tax", "3"], ["Cost", "(2)"]]
+    long = "Net sales 10 " + "Line 12 " * 3000 + "Cost (2)"
+    rows = [
+        (0, f"Before {long} after Cost (2)", [table]), (1, "Before NET SALES 10 tax 3 cost (2) after", [table]), (2, "Before item a b c after", [[["Item", "A"], ["B", "C"]]]),
+        (3, "Net sales 100 Cost (2)", [table]), (4, "Net sales 10 " * 3000, [table]), (5, "Só $1 a \\ b", [[["$1"], ["a", "\\"]]]), (6, None, None),
+    ]
+    d = spark.createDataFrame(rows, "i int, t string, m array<array<array<string>>>")
+    got = {r.i: r.kept for r in d.select("i", cleaning.drop_table_copies(F.col("t"), F.col("m")).alias("kept")).collect()}
+    assert got == {0: "Before after Cost (2)", 1: "Before after", 2: "Before after", 3: rows[3][1], 4: rows[4][1].strip(), 5: "Só b", 6: None}
