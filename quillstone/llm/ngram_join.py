@@ -9,8 +9,8 @@ group is a signature. Parts are ranges of hashes, so a sorted set is cut by bina
 A subset that holds nothing would be shared by strangers, so it gives no signature; x groups of slack make up for it.
 A set with more than x such groups also emits its prefix elements, which any two such sets that link must share. So
 candidates are complete. They are then checked exactly: each set against the most connected member of its buckets that
-it shares most signatures with, then members of buckets across components only, leaving out the pairs that a bound by rare features
-rules out.
+it shares most signatures with, then, across components only, the pairs of sets with any shared signature that a prefix
+filter on rare features finds. That second phase doesn't read buckets: signatures only say which sets take part.
 """
 
 from __future__ import annotations
