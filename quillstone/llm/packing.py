@@ -8,6 +8,8 @@ size, drawn by hash, so a window can't close across groups: the padding this cos
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_right
 from functools import lru_cache
@@ -19,16 +21,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash
-from .text import runs, utf8
+from .text import Words, runs, utf8
 
 WINDOW, END, GROUP = 4096, 2, 20_000
 
 
+# The steps before merging of tokenizers whose texts can be encoded word by word.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+}
+#: A word of letters that no step before merging changes.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+def _letter_ends(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a letter of _PLAIN ends right before each place."""
+    one = np.where(at > 0, buf[at - 1], 0)
+    two = np.where(at > 1, buf[at - 2], 0)
+    return (one >= 97) & (one <= 122) | (two == 0xC3) & (one >= 0x9F) & (one <= 0xBF) & (one != 0xB7)
+
+
 class Tokens:
-    """Ids of texts by a tokenizer file, through a cache of words of a bounded size that lives as long as the worker.
+    """Ids of texts by a tokenizer file.
 
-    The tokenizer splits at white space, drops it and lower-cases, so a text's ids are those of its words one after
-    another. New words are encoded many at a time, with a mark between them whose id nothing else has.
+    Where the tokenizer splits at white space, drops it and lower-cases (BY_WORD), a text's ids are those of its words
+    one after another, and words are kept in a cache of a bounded size that lives as long as the worker: its older half
+    goes when it is full. A stop or comma that ends a word is a piece of its own there, so it is cut off first. Equal
+    words of a run of texts are found by hash, checked byte by byte, and looked up once. New words are encoded many at a time. One of letters only ends with the one id of it that has the suffix of a word's end;
+    between others stands a mark whose id nothing else has. Any other tokenizer encodes whole texts.
     """
 
     MARK = b"\x01"
@@ -36,30 +65,83 @@ class Tokens:
     def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
-        self.tok, self.known, self.most = Tokenizer.from_file(path), {}, most
-        (self.mark,) = self.tok.encode(self.MARK.decode(), add_special_tokens=False).ids
-
-    def _learn(self, words: list[bytes]) -> None:
-        odd = [w for w in words if self.MARK in w]
-        for w in odd:
-            self.known[w] = np.array(self.tok.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        words = [w for w in words if self.MARK not in w] if odd else words
-        for i in range(0, len(words), 4000):
-            part = words[i : i + 4000]
-            (e,) = self.tok.encode_batch_fast([(b" " + self.MARK + b" ").join(part).decode()], add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            raw, cut = ids.tobytes(), np.flatnonzero(ids == self.mark) * 4
-            for w, a, b in zip(part, [0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)], strict=True):
-                self.known[w] = raw[a:b]
-
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        words = [(t if b"<" in t else t.lower()).split() for t in texts]
-        new = {w for ws in words for w in ws}.difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known, new = {}, {w for ws in words for w in ws}
-        self._learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        self.tok = Tokenizer.from_file(path)
+        steps = json.loads(self.tok.to_str())
+        suffix = steps["model"].get("end_of_word_suffix")
+        self.by_word = suffix and steps["model"]["type"] == "BPE" and not steps["model"].get("ignore_merges") and all(steps.get(k) == v for k, v in BY_WORD.items())
+        if self.by_word:
+            self.known, self.older, self.half = {}, {}, most // 2
+            (self.mark,) = self._ids(self.MARK)
+            vocab = self.tok.get_vocab()
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for piece, i in vocab.items() if piece.endswith(suffix)]] = True
+
+    def _ids(self, text: bytes) -> np.ndarray:
+        (e,) = self.tok.encode_batch_fast([text.decode()], add_special_tokens=False)
+        return np.array(e.ids, "<u4")
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, start: list[int], stop: list[int]) -> None:
+        raw = ids.tobytes()
+        for w, a, b in zip(words, start, stop, strict=True):
+            self.known[w] = raw[4 * a : 4 * b]
+
+    def _learn(self, words: set[bytes]) -> None:
+        older = self.older
+        if older:
+            again = {w: older[w] for w in words if w in older}
+            self.known |= again
+            words = words.difference(again)
+        plain = [w for w in words if _PLAIN.fullmatch(w)]
+        for i in range(0, len(plain), 8000):
+            part = plain[i : i + 8000]
+            ids = self._ids(b" ".join(part))
+            stop = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            self._keep(part, ids, [0, *stop[:-1]], stop)
+        other = list(words.difference(plain))
+        for w in [w for w in other if self.MARK in w]:
+            self.known[w] = self._ids(w).tobytes()
+            other.remove(w)
+        for i in range(0, len(other), 4000):
+            part = other[i : i + 4000]
+            ids = self._ids((b" " + self.MARK + b" ").join(part))
+            cut = np.flatnonzero(ids == self.mark)
+            self._keep(part, ids, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)])
+
+    def _of_words(self, words: list[bytes]) -> list[bytes]:
+        new = set(words).difference(self.known)
+        if len(self.known) + len(new) > self.half:
+            self.known, self.older, new = {}, self.known, set(words)
+        self._learn(new)
+        return list(map(self.known.__getitem__, words))
+
+    def of(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a run, one after another, and where each text's begin and the last's end."""
+        if not self.by_word:
+            got = self.tok.encode_batch_fast([buf[a:b].tobytes().decode() for a, b in zip(off[:-1], off[1:], strict=True)], add_special_tokens=False)
+            return np.concatenate([np.zeros(0, "<u4"), *(np.array(e.ids, "<u4") for e in got)]), np.cumsum([0, *(len(e.ids) for e in got)])
+        w = Words(buf, off, True)
+        start, end = w.start, w.end
+        for at in np.unique(np.searchsorted(start, np.flatnonzero(buf == 60), "right") - 1).tolist():  # special tokens tell case
+            w.buf[start[at] : end[at]] = buf[start[at] : end[at]]
+        stop = np.flatnonzero(end - start > 1)
+        stop = stop[np.isin(w.buf[end[stop] - 1], (44, 46))]
+        stop = stop[_letter_ends(w.buf, end[stop] - 1)]
+        start, end = np.sort(np.concatenate([start, end[stop] - 1])), np.sort(np.concatenate([end, end[stop] - 1]))
+        w.start, w.end = start, end
+        _, first, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        size, place = end - start, np.concatenate(([0], np.cumsum(end - start)))
+        inside = np.arange(place[-1]) - np.repeat(place[:-1], size)
+        alike = first[back]
+        if (size != size[alike]).any() or (w.buf[np.repeat(start, size) + inside] != w.buf[np.repeat(start[alike], size) + inside]).any():
+            first = back = np.arange(len(start))  # two words share a hash: each is looked up
+        raw = w.buf.tobytes()
+        ids = self._of_words([raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.concatenate(([0], np.cumsum(n)))[:-1]
+        each = n[back]
+        bound = np.concatenate(([0], np.cumsum(each)))
+        got = flat[np.repeat(begin[back] - bound[:-1], each) + np.arange(bound[-1])]
+        return got, bound[np.searchsorted(start, off)]
 
 
 @lru_cache(1)
@@ -72,14 +154,14 @@ def _cut(path: str, window: int, end: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokens, tail = _tokens(path), np.array([end], "<u4").tobytes()
+        tokens, tail = _tokens(path), np.array([end], "<u4")
         for batch in batches:
             buf, off = utf8(batch.column(1))
             for a, b in runs(off):
                 got = []
-                ids = tokens.of([buf[off[i] : off[i + 1]].tobytes() for i in range(a, b)])
-                for doc, x in zip(batch.column(0).slice(a, b - a).to_pylist(), ids, strict=True):
-                    x += tail
+                ids, bound = tokens.of(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+                for doc, p, q in zip(batch.column(0).slice(a, b - a).to_pylist(), bound[:-1].tolist(), bound[1:].tolist(), strict=True):
+                    x = np.concatenate([ids[p:q], tail]).tobytes()
                     n = len(x) // 4
                     got += [(doc, s, min(window, n - s), zlib.crc32(x[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
