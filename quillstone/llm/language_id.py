@@ -1,28 +1,28 @@
 """Language identification by compression (Benedetto, Caglioti and Loreto, 2002; Teahan, 2000).
 
-Each language has a zstandard raw-content dictionary of its own sample text. A text, in lower case and with everything
-between letters turned into one space, is encoded block by block with each dictionary, and the language whose dictionary makes it smallest wins. The score is the share by which the best beats the
-next; texts whose score is too small are rejected.
+Each language has a zstandard raw-content dictionary: the whole texts of a bounded sample of its rows. A text, in lower
+case and with everything between letters turned into one space, is encoded with each dictionary in blocks, every block
+behind the same short carrier of the dictionary, whose own size is taken off: alone, a short block would be stored raw
+and tell nothing. The language whose dictionary makes the text smallest wins. The score is the share by which the best
+beats the next; texts whose score is too small are rejected.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import utf8
+from .text import runs, utf8
 
-#: Bounds of what is learned: languages (the most frequent), documents a language, characters of each, bytes of a dictionary.
-LANGS, PER_LANG, PER_DOC, DICT_BYTES = 256, 64, 1024, 98_304
-#: Block and level of encoding.
-BLOCK, LEVEL = 4096, 6
-#: Texts under SHORT bytes are encoded behind the first CARRIER bytes of the dictionary, since alone they would be stored
-#: raw, and at a higher level.
-SHORT, CARRIER, FINE = 256, 200, 12
+#: Labelled rows a language that are learned from.
+PER_LANG = 64
+#: Block and carrier in bytes, level of encoding; languages whose compressors a worker holds at once.
+BLOCK, CARRIER, LEVEL, HELD = 4096, 200, 12, 64
 #: Texts whose best dictionary saves less than this share over the next are rejected.
 MARGIN = 0.005
 
@@ -32,61 +32,76 @@ def held_out(modulus: int = 4, rest: int = 2):
 
 
 def learn(labelled: DataFrame, per_lang: int = PER_LANG) -> dict[str, bytes]:
-    """{language: dictionary} from labelled (doc_id, text, lang): a bounded sample, the least hashes of doc_id and text per language."""
-    often = labelled.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS)
-    names = [r.lang for r in often.collect()]
-    seen = labelled.where(F.col("lang").isin(names) & F.col("text").rlike(r"\p{L}"))
-    pick = seen.select("lang", F.expr(f"substring(text, 1 + cast(pmod(xxhash64(doc_id), greatest(1, length(text) - {PER_DOC})) as int), {PER_DOC})").alias("part"), F.xxhash64("doc_id").alias("h"))
-    top = pick.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))).where(F.col("r") <= per_lang)
-    texts: dict[str, list[bytes]] = {}
-    for x in top.sort("lang", "r").collect():
-        texts.setdefault(x.lang, []).append(x.part.encode())
-    return {k: b"\n".join(map(_letters, v))[:DICT_BYTES] for k, v in texts.items()}
+    """{language: dictionary} from labelled (doc_id, text, lang): whole texts of the per_lang rows with the least hashes of doc_id and text.
+
+    Every non-null lang with a text that has a letter is learned. Equal texts of a language count once. What reaches the
+    driver and the workers is per_lang texts a language.
+    """
+    seen = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("doc_id", "text").alias("h"), F.xxhash64("text").alias("t"))
+    first = seen.groupBy("lang", "t").agg(F.min("h").alias("h"))
+    top = first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_lang).select("lang", "h", "r")
+    rows = labelled.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(top), ["lang", "h"])
+    texts: dict[str, dict[int, bytes]] = {}
+    for x in rows.select("lang", "r", "text").collect():
+        texts.setdefault(x.lang, {})[x.r] = x.text.encode()
+    return {k: b"\n".join(_letters(v[r]) for r in sorted(v)) for k, v in sorted(texts.items())}
 
 
 def _letters(raw: bytes) -> bytes:
     return re.sub(r"[\W\d_]+", " ", raw.decode("utf-8", "replace").lower()).encode()
 
 
-def predict(dictionaries: dict[str, bytes], block: int = BLOCK, level: int = LEVEL):
-    langs = sorted(dictionaries)
+class _Packers:
+    """(compress, carrier, size of the carrier alone) of each language; the HELD last used ones stay."""
 
-    def run(batches):
+    def __init__(self, dictionaries: dict[str, bytes], level: int, carrier: int):
+        self.get = lru_cache(HELD)(lambda lang: self._make(dictionaries[lang], level, carrier))
+
+    @staticmethod
+    def _make(data: bytes, level: int, carrier: int):
         import zstandard
 
-        def packer(data: bytes, at: int):
-            d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=at)
-            return zstandard.ZstdCompressor(level=at, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+        d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=level)
+        compress = zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+        start = data[:carrier] + b" "
+        return compress, start, len(compress(start)) - 4
+
 
-        packers, fine = [packer(dictionaries[k], level) for k in langs], []
-        for k in langs:
-            c, start = packer(dictionaries[k], FINE), dictionaries[k][:CARRIER] + b" "
-            fine.append((c, start, len(c(start)) - 4))
+def predict(dictionaries: dict[str, bytes], block: int = BLOCK, level: int = LEVEL, carrier: int = CARRIER):
+    langs = sorted(dictionaries)
+
+    def run(batches):
+        packers = _Packers(dictionaries, level, carrier)
         for batch in batches:
             buf, off = utf8(batch.column(1))
-            pred, score = [], np.zeros(batch.num_rows)
-            for i in range(batch.num_rows):
-                raw = _letters(buf[off[i] : off[i + 1]].tobytes())
-                if not langs or not raw.strip():
-                    pred.append("und")
-                    continue
-                if len(raw) < SHORT:
-                    sizes = [len(c(start + raw)) - size for c, start, size in fine]
-                else:
-                    parts = [raw[j : j + block] for j in range(0, len(raw), block)]
-                    sizes = [sum(map(len, map(c, parts))) for c in packers]
-                best = min(range(len(langs)), key=sizes.__getitem__)
-                rest = sizes[:best] + sizes[best + 1 :]
-                score[i] = 1 - sizes[best] / min(rest) if rest else 1.0
-                pred.append(langs[best])
+            best, least, second = np.full(batch.num_rows, -1), np.full(batch.num_rows, np.inf), np.full(batch.num_rows, np.inf)
+            for a, b in runs(off):
+                parts = []
+                for i in range(a, b):
+                    raw = _letters(buf[off[i] : off[i + 1]].tobytes())
+                    parts.append([raw[j : j + block] for j in range(0, len(raw), block)] if raw.strip() else [])
+                for k, lang in enumerate(langs):  # one language after another, so that few compressors are held
+                    compress, start, alone = packers.get(lang)
+                    for i, texts in enumerate(parts, a):
+                        if texts:
+                            size = sum(len(compress(start + x)) - alone for x in texts)
+                            if size < least[i]:
+                                best[i], least[i], second[i] = k, size, least[i]
+                            elif size < second[i]:
+                                second[i] = size
+            score = np.where(best < 0, 0.0, np.where(np.isinf(second), 1.0, 1 - least / np.maximum(second, 1)))
+            pred = [langs[k] if k >= 0 else "und" for k in best.tolist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return run
 
 
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
-    """The rows of docs that identify() doesn't reject, with all their columns."""
+    """The rows of docs that identify() doesn't reject, with all their columns, whatever their names.
+
+    Rows with a null text or one without letters are rejected; repeated rows stay or go together; no rows give no rows.
+    """
     judge, names = predict(dictionaries), docs.columns
 
     def run(batches):
@@ -102,7 +117,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
     """(doc_id, lang_pred, score, rejected) of every row of docs (doc_id, text, ...).
 
     lang_pred is `und`, with score 0, where the text is null or has no letter, or nothing was learned. Ties go to the
-    first language by name. Repeated rows get the same answer; no rows give no rows; other columns are ignored.
+    first language by name. Repeated rows get the same answer; no rows give no rows; other columns are ignored. A text of
+    any length is encoded whole, block by block.
     """
     got = docs.select("doc_id", "text").mapInArrow(predict(dictionaries), "doc_id long, lang_pred string, score double")
     return got.withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("score") < margin))
