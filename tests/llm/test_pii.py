@@ -97,3 +97,45 @@ def test_disclosing_equals_brute_force(spark):
 
 def test_empty(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_terms_of_a_kind_equal_brute_force(spark):
+    r = random.Random(6)
+    words = [f"w{'abcdefghij'[j % 10]}{'klmnopq'[j // 10]}" for j in range(70)]
+    rows = []
+    for i in range(300):
+        t = r.choices(words, [1 / (j + 1) for j in range(70)], k=r.randint(3, 30))
+        if i % 6 == 0:
+            t += [r.choice(["Fon:", "call"]), f"+49 30 {100000 + i}"]
+        if i % 11 == 0:
+            t += [f"kim{i if i % 2 else ''}@x.org"]
+        rows.append((i, " ".join(t)))
+    rows += [(1000 + i, t) for i, t in rows[:40]]
+    docs = {}
+    for _, t in rows:
+        phone = re.search(r"\+49 30 [0-9]+", t)
+        docs[t] = ({w.strip(":").lower() for w in t.split() if not re.search("[0-9@]", w)}, {"phone:" + re.sub("[^0-9]", "", phone[0])} if phone else set(), {"email:" + w for w in t.split() if "@" in w})
+    every = [v for d in docs.values() for v in d[1] | d[2]]
+    held = {t: {v if every.count(v) >= 2 else v.split(":")[0] for v in d[1] | d[2]} for t, d in docs.items()}
+    want = set()
+    for e in set().union(*held.values()):
+        for w in set().union(*(docs[t][0] for t in docs if e in held[t])):
+            ne, nt, nb = sum(e in h for h in held.values()), sum(w in d[0] for d in docs.values()), sum(e in held[t] and w in d[0] for t, d in docs.items())
+            if len(w) > 2 and nb >= (2 if ":" in e else 3) and math.log2(nb * len(docs) / (nt * ne)) / math.log2(len(docs) / ne) >= 0.9:
+                want.add((e, w))
+    t = spark.createDataFrame(rows, "rid long, text string")
+    got = {tuple(x) for x in pii.disclosing(pii.base_spans(t).where("size(base) > 0"), t.select(pii.F.col("text").alias("t"))).collect()}
+    assert ("phone", "fon") in want and got == want
+    found = {x.doc_id: x for x in pii.find(t.withColumnRenamed("rid", "doc_id")).collect()}
+    clean = {x.doc_id: x.text for x in pii.sanitise(t.withColumnRenamed("rid", "doc_id")).collect()}
+    told = {d: {w for e, w in want if e in held[x]} & docs[x][0] for d, x in rows}
+    assert all(found[d].n_term == sum(w.strip(":").lower() in told[d] for w in x.split()) for d, x in rows)
+    assert all(found[d].clean_sha256 == hashlib.sha256(clean[d].encode()).hexdigest() for d, _ in rows) and any("[PHONE]" in x and "Fon" not in x for x in clean.values())
+
+
+def test_many_spans_in_one_text(spark):
+    n = 3000
+    df = spark.createDataFrame([(1, " ".join(f"u{i}@x.org" for i in range(n)), 5, "c")], "doc_id long, text string, rid int, clean string")
+    (x,) = pii.find(df).collect()
+    assert x.n_email == n and len(x.spans.split(",")) == n
+    assert pii.sanitise(df).collect() == [(1, " ".join(["[EMAIL]"] * n))]
