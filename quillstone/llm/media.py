@@ -25,6 +25,8 @@ from .text import runs, utf8
 SIDE, FRAME, FPS = 24, 576, 25
 #: Histogram bins; frames a threshold looks back on; standard deviations above their mean that make a cut.
 BINS, LOOK, SIGMAS, LEAST = 16, 12, 3.0, 0.12
+#: Frames of a RIFF part: its sizes have 32 bits.
+PART = 1_500_000
 
 
 # --- JPEG -----------------------------------------------------------------------------------------------------------
@@ -172,9 +174,13 @@ def _chunk(tag: bytes, body: bytes) -> bytes:
     return tag + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
 
 
-def write_avi(payload: bytes) -> bytes:
-    """A clip of payload, whose length is a multiple of FRAME; RIFF sizes hold up to 4 GB."""
+def write_avi(payload: bytes, part: int = PART) -> bytes:
+    """A clip of payload, whose length is a multiple of FRAME: one RIFF part, or more (AVIX) where there are over part frames; each has its index."""
     samples = np.frombuffer(payload, np.uint8).reshape(-1, FRAME)
+    return b"".join(_part(samples[i : i + part], len(samples), b"AVIX" if i else b"AVI ") for i in range(0, len(samples), part))
+
+
+def _part(samples: np.ndarray, total: int, kind: bytes) -> bytes:
     frames = encode_frames(samples)
     n, length = frames.shape
     padded = length + length % 2
@@ -184,59 +190,67 @@ def write_avi(payload: bytes) -> bytes:
     index = np.zeros((n, 4), "<u4")
     index[:, 0], index[:, 1] = int.from_bytes(b"00dc", "little"), 16
     index[:, 2], index[:, 3] = 4 + np.arange(n) * (8 + padded), length
-    px = SIDE * 8
-    avih = struct.pack("<14I", 1_000_000 // FPS, padded * FPS, 0, 16, n, 0, 1, padded, px, px, 0, 0, 0, 0)
-    strh = b"vidsMJPG" + struct.pack("<IHHIIIIIIIIHHHH", 0, 0, 0, 0, 1, FPS, 0, n, padded, 0xFFFFFFFF, 0, 0, 0, px, px)
-    strf = struct.pack("<IiiHH4sIiiII", 40, px, px, 1, 24, b"MJPG", px * px * 3, 0, 0, 0, 0)
-    strl = _chunk(b"LIST", b"strl" + _chunk(b"strh", strh) + _chunk(b"strf", strf))
-    head = _chunk(b"LIST", b"hdrl" + _chunk(b"avih", avih) + strl)
-    return _chunk(b"RIFF", b"AVI " + head + _chunk(b"LIST", b"movi" + movi.tobytes()) + _chunk(b"idx1", index.tobytes()))
+    px, head = SIDE * 8, b""
+    if kind == b"AVI ":
+        avih = struct.pack("<14I", 1_000_000 // FPS, padded * FPS, 0, 16, total, 0, 1, padded, px, px, 0, 0, 0, 0)
+        strh = b"vidsMJPG" + struct.pack("<IHHIIIIIIIIHHHH", 0, 0, 0, 0, 1, FPS, 0, total, padded, 0xFFFFFFFF, 0, 0, 0, px, px)
+        strf = struct.pack("<IiiHH4sIiiII", 40, px, px, 1, 24, b"MJPG", px * px * 3, 0, 0, 0, 0)
+        strl = _chunk(b"LIST", b"strl" + _chunk(b"strh", strh) + _chunk(b"strf", strf))
+        head = _chunk(b"LIST", b"hdrl" + _chunk(b"avih", avih) + strl)
+    return _chunk(b"RIFF", kind + head + _chunk(b"LIST", b"movi" + movi.tobytes()) + _chunk(b"idx1", index.tobytes()))
 
 
 def read_index(data: bytes) -> tuple[np.ndarray, float]:
-    """(offset, length) of each indexed video frame, and frames a second, of a RIFF AVI file."""
+    """(offset, length) of each indexed video frame of all parts, and frames a second, of a RIFF AVI file."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    movi, index, fps, todo = None, None, 0.0, [(12, min(len(data), 8 + int.from_bytes(data[4:8], "little")))]
-    while todo:
-        at, end = todo.pop()
-        while at + 8 <= end:
-            tag, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
-            if tag == b"LIST" and data[at + 8 : at + 12] == b"movi":
-                movi = at + 8
-            elif tag == b"LIST":
-                todo.append((at + 12, at + 8 + size))
-            elif tag == b"avih":
-                fps = 1e6 / max(1, int.from_bytes(data[at + 8 : at + 12], "little"))
-            elif tag == b"idx1":
-                index = np.frombuffer(data, "<u4", size // 16 * 4, at + 8).reshape(-1, 4)
-            at += 8 + size + size % 2
-    if movi is None or index is None:
-        raise ValueError("no index")
-    video = index[index[:, 0] == int.from_bytes(b"00dc", "little")].astype(np.int64)
-    start = movi if len(video) and data[movi + video[0, 2] : movi + video[0, 2] + 4] == b"00dc" else 0  # offsets may count from the file
-    return np.stack([start + video[:, 2] + 8, video[:, 3]], 1), fps
+    fps, found, at = 0.0, [], 0
+    while data[at : at + 4] == b"RIFF":
+        size = int.from_bytes(data[at + 4 : at + 8], "little")
+        movi, index, todo = None, None, [(at + 12, min(len(data), at + 8 + size))]
+        while todo:
+            here, end = todo.pop()
+            while here + 8 <= end:
+                tag, n = data[here : here + 4], int.from_bytes(data[here + 4 : here + 8], "little")
+                if tag == b"LIST" and data[here + 8 : here + 12] == b"movi":
+                    movi = here + 8
+                elif tag == b"LIST":
+                    todo.append((here + 12, here + 8 + n))
+                elif tag == b"avih":
+                    fps = 1e6 / max(1, int.from_bytes(data[here + 8 : here + 12], "little"))
+                elif tag == b"idx1":
+                    index = np.frombuffer(data, "<u4", n // 16 * 4, here + 8).reshape(-1, 4)
+                here += 8 + n + n % 2
+        if movi is None or index is None:
+            raise ValueError("no index")
+        video = index[index[:, 0] == int.from_bytes(b"00dc", "little")].astype(np.int64)
+        start = movi if len(video) and data[movi + video[0, 2] : movi + video[0, 2] + 4] == b"00dc" else at  # offsets may count from the part
+        found.append(np.stack([start + video[:, 2] + 8, video[:, 3]], 1))
+        at += 8 + size + size % 2
+    return np.concatenate(found), fps
 
 
 def read_avi(data: bytes) -> tuple[np.ndarray, float]:
     """Samples of each frame, FRAME to a row, and frames a second."""
     index, fps = read_index(data)
-    length = index[0, 1] if len(index) else 0
-    if len(index) and (index[:, 1] == length).all():
-        raw = np.frombuffer(data, np.uint8)
-        step = np.unique(np.diff(index[:, 0]))
-        if len(step) <= 1:
-            frames = np.lib.stride_tricks.as_strided(raw[index[0, 0] :], (len(index), length), (int(step[0]) if len(step) else 0, 1))
-            if (got := _decode_alike(frames)) is not None:
-                return got, fps
-    return np.stack([decode_jpeg(data[a : a + n])[::8, ::8].ravel() for a, n in index.tolist()]) if len(index) else np.zeros((0, FRAME), np.uint8), fps
+    if not len(index):
+        return np.zeros((0, FRAME), np.uint8), fps
+    length, raw = index[0, 1], np.frombuffer(data, np.uint8)
+    if (index[:, 1] == length).all():
+        got, step = [], np.diff(index[:, 0])
+        cuts = [0, *(np.flatnonzero(step != step[0]) + 1).tolist(), len(index)] if len(step) else [0, 1]  # where a part begins
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            got.append(_decode_alike(np.lib.stride_tricks.as_strided(raw[index[a, 0] :], (b - a, length), (int(step[0]) if len(step) else 0, 1))))
+        if all(x is not None for x in got):
+            return np.concatenate(got), fps
+    return np.stack([decode_jpeg(data[a : a + n])[::8, ::8].ravel() for a, n in index.tolist()]), fps
 
 
 def shots(samples: np.ndarray, fps: float = FPS) -> list[tuple[int, float, float, int]]:
     """(shot, start second, end second, frames) of a clip.
 
     A cut is where the share of pixels that change histogram bin exceeds LEAST and the mean of the last LOOK differences
-    by SIGMAS of their standard deviations.
+    by SIGMAS of their standard deviations. A last frame that ends in padding (255, which no text has) begins no shot.
     """
     n = len(samples)
     if not n:
@@ -251,6 +265,7 @@ def shots(samples: np.ndarray, fps: float = FPS) -> list[tuple[int, float, float
     mean = (one[at] - one[low]) / m
     dev = np.sqrt(np.maximum(0, (two[at] - two[low]) / m - mean * mean))
     cuts = np.flatnonzero((diff > LEAST) & (diff > mean + SIGMAS * dev)) + 1
+    cuts = cuts[cuts < n - (samples[-1, -1] == 255)]
     edge = [0, *cuts.tolist(), n]
     return [(i, a / fps, b / fps, b - a) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True))]
 
@@ -276,6 +291,9 @@ def clips(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, media binary")
 
 
+SHOT = ("shot", "start_s", "end_s", "frames")
+
+
 def clip_shots(media: DataFrame) -> DataFrame:
     """(doc_id, shot, start_s, end_s, frames), a row a shot, of every row of media (doc_id, media, ...); null media has none."""
 
@@ -283,7 +301,7 @@ def clip_shots(media: DataFrame) -> DataFrame:
         for batch in batches:
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if data.is_valid and (rows := shots(*read_avi(data.as_buffer().to_pybytes()))):
-                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(rows), pa.int64()), *map(pa.array, zip(*rows, strict=True))], ["doc_id", "shot", "start_s", "end_s", "frames"])
+                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(rows), pa.int64()), *map(pa.array, zip(*rows, strict=True))], ["doc_id", *SHOT])
 
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, shot long, start_s double, end_s double, frames long")
 
@@ -291,26 +309,27 @@ def clip_shots(media: DataFrame) -> DataFrame:
 def digest(docs: DataFrame) -> DataFrame:
     """Of every row of docs (doc_id, text, ...), what its clip holds once it was written and read back.
 
-    doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; the feature lists
-    frames, shots and each shot's length in frames, by hash beyond 32 shots. Equal texts have equal values; null text is
-    empty; no rows give no rows; other columns are ignored.
+    doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, clips. The feature lists
+    frames, shots and each shot's length in frames; clips has a (shot, start_s, end_s, frames) for each shot, as
+    clip_shots() gives them. Equal texts have equal values, repeated rows too; null text is empty; no rows give no rows;
+    other columns are ignored. A text of any length is one clip, held in memory with its frames.
     """
 
     def one(raw: bytes) -> tuple:
         media = write_avi(payload_of(raw))
         samples, fps = read_avi(media)
         back = samples.tobytes()
-        cut = [x[3] for x in shots(samples, fps)]
-        lengths = ",".join(map(str, cut)) if len(cut) <= 32 else sha256(",".join(map(str, cut)).encode()).hexdigest()
-        feature = f"frames={len(samples)};shots={len(cut)};lengths={lengths}"
-        return len(raw), len(back), sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), sha256(media).hexdigest(), feature
+        cut = shots(samples, fps)
+        feature = f"frames={len(samples)};shots={len(cut)};lengths={','.join(str(x[3]) for x in cut)}"
+        return len(raw), len(back), sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), sha256(media).hexdigest(), feature, [dict(zip(SHOT, x, strict=True)) for x in cut]
 
     def run(batches):
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        shot = pa.list_(pa.struct([("shot", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int64())]))
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), shot]
         for ids, texts in _texts(batches):
             columns = zip(*map(one, texts), strict=True)
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *names])
 
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"]
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
+    return docs.select("doc_id", "text").mapInArrow(run, schema + "clips array<struct<shot:long,start_s:double,end_s:double,frames:long>>")

@@ -40,3 +40,42 @@ def test_shots():
     dark, light = np.full((30, 576), 20, np.uint8), np.full((20, 576), 200, np.uint8)
     assert [x[3] for x in media.shots(np.vstack([dark, light, dark]))] == [30, 20, 30]
     assert media.shots(dark[:0]) == [] and len(media.shots(dark[:1])) == 1
+
+
+def test_parts_of_a_long_clip():
+    samples = np.random.default_rng(2).integers(0, 255, (23, 576)).astype(np.uint8)
+    for part in (1, 2, 7, 22, 23, 24):
+        data = media.write_avi(samples.tobytes(), part)
+        index, fps = media.read_index(data)
+        assert data.count(b"AVIX") == -(-23 // part) - 1 and fps == 25 and len(index) == 23
+        assert (media.read_avi(data)[0] == samples).all()
+        a, n = index[-1].tolist()
+        assert (media.decode_jpeg(data[a : a + n])[::8, ::8].ravel() == samples[-1]).all()
+
+
+def plain_shots(raw):
+    """Cuts of a text's bytes frame by frame; a frame with padding begins none."""
+    frames = [raw[i : i + 576] for i in range(0, len(raw), 576)]
+    diff = []
+    for p, q in zip(frames, frames[1:]):
+        count = lambda f: [sum(x >> 4 == k for x in f) + (k == 15) * (576 - len(f)) for k in range(16)]
+        diff.append(sum(abs(x - y) for x, y in zip(count(p), count(q))) / 1152)
+    cuts = [0]
+    for i, x in enumerate(diff):
+        last = diff[max(0, i - 12) : i]
+        mean = sum(last) / max(1, len(last))
+        dev = (max(0, sum(y * y for y in last) / max(1, len(last)) - mean * mean)) ** 0.5
+        if x > 0.12 and x > mean + 3 * dev + 1e-12 and len(frames[i + 1]) == 576:
+            cuts.append(i + 1)
+    return [b - a for a, b in zip(cuts, [*cuts[1:], max(1, len(frames))])]
+
+
+def test_feature_and_clips_equal_brute_force(spark):
+    r = random.Random(5)
+    rows = [(i, "".join(r.choice(["ab ", "XY!", "éÉ", "0 1"]) * r.choice([50, 200, 700]) for _ in range(r.randint(1, 9)))) for i in range(25)] + [(90, None), (91, "a"), (92, "long " * 40_000), (92, "long " * 40_000)]
+    rows += [(100, "a" * 576 * 40 + "é" * 5)]
+    got = media.digest(spark.createDataFrame(rows, "doc_id long, text string"))
+    for x, (d, t) in zip(sorted(got.collect(), key=lambda x: x.doc_id), sorted(rows, key=lambda x: x[0])):
+        want = plain_shots((t or "").encode())
+        assert x.feature == f"frames={max(1, -(-len((t or '').encode()) // 576))};shots={len(want)};lengths={','.join(map(str, want))}", d
+        assert [c.frames for c in x.clips] == want and x.clips[-1].end_s == sum(want) / 25 and [c.shot for c in x.clips] == list(range(len(want)))
