@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +32,29 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillstone/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings (dots as __) for a while."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts its lineage and survives lost executors."""
+    """Writes df to the shared folder and reads it back, which cuts its lineage and survives lost executors.
+
+    Spark removes the shuffle files of the write as soon as it has ended.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed = path
     return out
@@ -55,17 +72,6 @@ def drop(*stashed: DataFrame) -> None:
         discard(df.sparkSession, df._stashed)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets the context cleaner drop the shuffle files of plans that are no longer referenced.
-
-    The last events of a query hold its plan until they are handled, so the driver collects its garbage more than once.
-    """
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def bitmap_hits(df: DataFrame, key, keys: DataFrame, key_of_keys, n_keys: int, max_bits: int = 1 << 26) -> DataFrame:
     """df with __hit: false only where key is surely not among keys, found without a shuffle of df.
 

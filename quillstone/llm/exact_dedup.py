@@ -4,8 +4,9 @@ A normalised text is cut into blocks of a fixed number of bytes. Distinct blocks
 distinct pairs of adjacent names are, and so on until each text has one name; with the text's length that is its
 identity, and it is free of collisions because every name stands for one content.
 
-Only texts whose length and 64-bit fingerprint occur twice can have an equal; the others skip the naming. Distinct
-blocks and pairs combine map-side, and the joins that hand out names are plain equi-joins that AQE can split.
+Only texts whose length and 64-bit fingerprint occur twice can have an equal; of the others these two, which no other
+row has, are the identity, and they skip the naming. Distinct blocks and pairs combine map-side, and the joins that hand
+out names are plain equi-joins that AQE can split.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_filter, drop, release_shuffles, stash
+from .common import bitmap_filter, drop, stash
 
-BLOCK = 4096
+BLOCK = 256
 
 
 def normalised(text="text"):
@@ -52,11 +53,12 @@ def identities(texts: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per row of docs (doc_id, text, ...): doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of docs (doc_id, text, ...): doc_id, keep_id, group_size, kept, text_sha256, identity.
 
     Texts are equal when they are after each run of white space became one space; null counts as empty. Of equal
-    texts the row with the least doc_id stays, null ids last; of rows that also share the id, one does. Other columns
-    are ignored; an empty table gives an empty result.
+    texts the row with the least doc_id stays, null ids last; of rows that also share the id, one does. identity is the
+    text's length and name, or its length and fingerprint where no other row has both: equal for equal texts only. Texts
+    are named whole, whatever their length. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     norm = docs.select("doc_id", normalised().alias("norm")).select(
@@ -67,16 +69,17 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     near = bitmap_filter(norm, F.col("h"), twice, F.col("h"), twice.count())
     kept = near.join(twice, ["n", "h"], "left_semi").withColumn("rid", F.monotonically_increasing_id())
     texts = stash(kept.select("rid", "doc_id", "n", F.col("norm").cast("binary").alias("bytes")), "texts")
-    release_shuffles(spark)
     named = identities(texts.select("rid", "n", "bytes"), block)
     member = stash(named.join(texts.select("rid", "doc_id", F.sha2("bytes", 256).alias("text_sha256")), "rid"), "member")
     drop(texts)
     groups = member.groupBy("n", "name").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"), F.count("*").alias("group_size"))
     groups = stash(groups, "groups")  # read back, so that AQE may split the join at a large group
     inside = member.join(groups, ["n", "name"]).select(
-        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), "text_sha256"
-    )
+        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), "text_sha256",
+        F.concat_ws(":", F.lit("name"), F.col("n").cast("string"), F.col("name").cast("string")).alias("identity"),
+    )
     alone = rows.join(twice, ["n", "h"], "left_anti").select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
-    )
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256",
+        F.concat_ws(":", F.lit("only"), F.col("n").cast("string"), F.hex("h")).alias("identity"),
+    )
     return alone.unionByName(inside)

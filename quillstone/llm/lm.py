@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, release_shuffles, scratch, stash
+from .common import discard, scratch, stash
 from .text import Words, chunks
 
 A = np.uint64(0x9E6C63D0676A9A99)
@@ -262,7 +262,6 @@ def train(docs: DataFrame) -> tuple[str, int, dict]:
     folder = scratch(spark, "model")
     blobs = docs.select("text").mapInArrow(_count(bits), "shard int, blob binary")
     merged = stash(blobs.groupBy("shard").applyInPandas(_merge_pairs(folder, bits), "shard int, blob binary"), "gains")
-    release_shuffles(spark)
     got = merged.where("shard >= 0").groupBy("shard").applyInPandas(_merge_words(folder), "shard int, blob binary")
     total = np.zeros((3, 8), np.int64)
     both = stash(got.unionByName(merged.where("shard < 0")), "counts")

@@ -15,12 +15,14 @@ filter on rare features finds. That second phase doesn't read buckets: signature
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_filter, components, drop, release_shuffles, stash
+from .common import bitmap_filter, components, drop, stash
 from .text import Words, chunks, mix
 
 #: Similarity in hundredths and shingle length.
@@ -29,6 +31,8 @@ NUM, DEN, SHINGLE = 85, 100, 4
 BAND = 1.4
 #: Bits of slots of the table that tells common features from rare ones, at most; slots of a block of it.
 SLOT_BITS, BLOCK = 24, 1 << 16
+#: Counters of a block that are added in one task.
+FAN = 256
 _ARMS = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
@@ -83,28 +87,43 @@ def signatures(s: np.ndarray, num: int = NUM, den: int = DEN, bits: int = 64) ->
     return np.concatenate(out) >> np.uint64(64 - bits) if out else np.zeros(0, np.uint64)
 
 
-def _set_key(s: np.ndarray) -> tuple[int, int]:
+def _set_key(s: np.ndarray, clashing: frozenset = frozenset(), bits: int = 64) -> tuple[int, int]:
+    """Key and check of a set. A key that different sets have gives way to one made of the check."""
     a, b = mix(s).sum(dtype=np.uint64), mix(s ^ _ARMS[6]).sum(dtype=np.uint64)
-    return tuple(mix(np.array([a + np.uint64(len(s)), b], np.uint64)).view(np.int64).tolist())
+    key, check = (mix(np.array([a + np.uint64(len(s)), b], np.uint64)) >> np.array([64 - bits, 0], np.uint64)).view(np.int64).tolist()
+    return (_rekeyed(check) if key in clashing else key), check
+
+
+def _rekeyed(check: int) -> int:
+    return int(mix(np.array([check], np.int64).view(np.uint64) ^ _ARMS[2]).view(np.int64)[0])
 
 
-def _profile(n: int):
+def _profile(n: int, key_bits: int):
     def run(batches):
         for rows, w in chunks(batches):
-            got = [(len(s), *_set_key(s)) for _, s in shingle_sets(w, n)]
+            got = [(len(s), *_set_key(s, bits=key_bits)) for _, s in shingle_sets(w, n)]
             size, key, check = (np.array(x, np.int64) for x in zip(*got, strict=True))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(size), pa.array(key), pa.array(check)], ["doc_id", "n_shingles", "key", "check"])
 
     return run
 
 
-def _signed(n: int, num: int, den: int, bits: int):
+def _rekey(clashing: frozenset):
+    def run(batches):
+        for b in batches:
+            key = [_rekeyed(c) if k in clashing else k for k, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key, pa.int64()), b.column(3)], ["doc_id", "n_shingles", "key", "check"])
+
+    return run
+
+
+def _signed(n: int, num: int, den: int, bits: int, key_of):
     def run(batches):
         last, done = None, set()
         for rows, w in chunks(batches):
             keys, sigs = [], []
             for _, s in shingle_sets(w, n):
-                key = _set_key(s)[0]
+                key = key_of(s)[0]
                 if len(done) > 50_000:
                     done = set()
                 if len(s) and key not in done:  # a task's own copies add nothing
@@ -118,10 +137,10 @@ def _signed(n: int, num: int, den: int, bits: int):
     return run
 
 
-def _sets(n: int):
+def _sets(n: int, key_of):
     def run(batches):
         for _, w in chunks(batches):
-            got = [(_set_key(s)[0], s.tobytes()) for _, s in shingle_sets(w, n)]
+            got = [(key_of(s)[0], s.tobytes()) for _, s in shingle_sets(w, n)]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), pa.array([b for _, b in got], pa.binary())], ["key", "shingles"])
 
     return run
@@ -148,6 +167,7 @@ def _slot_counts(bits: int):
 
     def run(batches):
         import zstandard
+        from pyspark import TaskContext
 
         count = np.zeros(1 << bits, np.uint8)
         for b in batches:
@@ -157,7 +177,8 @@ def _slot_counts(bits: int):
                 count[slot] = np.minimum(255, count[slot] + n)
         if count.any():
             parts = [zstandard.compress(x.tobytes(), 1) for x in count.reshape(-1, BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["block", "counts"])
+            part = np.full(len(parts), TaskContext.get().partitionId() // FAN, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(part), pa.array(parts, pa.binary())], ["block", "part", "counts"])
 
     return run
 
@@ -168,7 +189,7 @@ def _summed(g):
     total = np.zeros(BLOCK, np.int64)
     for x in g["counts"]:
         total += np.frombuffer(zstandard.decompress(x), np.uint8)
-    return g.iloc[:1].assign(counts=[zstandard.compress(np.minimum(255, total).astype(np.uint8).tobytes(), 1)])
+    return g.iloc[:1].assign(part=g["part"].iloc[0] // FAN, counts=[zstandard.compress(np.minimum(255, total).astype(np.uint8).tobytes(), 1)])
 
 
 def _prefixes(common, bits: int, num: int, den: int):
@@ -205,9 +226,10 @@ def _prefix_pairs(sets: DataFrame, labels: DataFrame, num: int, den: int) -> Dat
 
     n = (sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0) // 8
     bits = max(16, min(SLOT_BITS, (4 * n).bit_length()))
-    counts = sets.select("key", "shingles").mapInArrow(_slot_counts(bits), "block int, counts binary").groupBy("block").applyInPandas(_summed, "block int, counts binary")
+    counts, schema = sets.select("key", "shingles").mapInArrow(_slot_counts(bits), "block int, part int, counts binary"), "block int, part int, counts binary"
+    counts = counts.groupBy("block", "part").applyInPandas(_summed, schema).groupBy("block").applyInPandas(_summed, schema)  # FAN counters of a block meet, then the sums
     table = np.zeros(1 << bits, np.uint8)
-    for block, blob in counts.collect():  # 2^bits bytes at most
+    for block, _, blob in counts.collect():  # 2^bits bytes at most
         table[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(zstandard.decompress(blob), np.uint8)
     common = sets.sparkSession.sparkContext.broadcast(table)
     placed = sets.select("key", "shingles").mapInArrow(_prefixes(common, bits, num, den), "node long, size long, feature long, place long")
@@ -221,29 +243,44 @@ def _prefix_pairs(sets: DataFrame, labels: DataFrame, num: int, den: int) -> Dat
     return out
 
 
-def ngram_join(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN, key_bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text, ...).
 
     Sets of n-word shingles link when den * intersection >= num * union; component_id is the least doc_id reachable.
     Rows without words have no shingles and link with nothing: their component is their own doc_id. Rows with equal
     sets, repeated rows included, are one class and share a component. A null doc_id is never a component's id unless
-    all of the component are null. An empty table gives an empty result; other columns are ignored.
+    all of the component are null. An empty table gives an empty result; other columns are ignored. A text is one set
+    however long; a worker holds its words' hashes, 8 bytes a word.
+
+    A class is known by key_bits of hash and a check of 64 more: where two classes share the former, the latter tells.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
-    rows = stash(texts.mapInArrow(_profile(n), "doc_id long, n_shingles long, key long, check long"), "rows")
-    classes = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("check").alias("c0"), F.max("check").alias("c1"))
-    classes = stash(classes, "classes")
-    if classes.where("c0 <> c1").limit(1).count():
-        raise RuntimeError("two different shingle sets share a 64-bit key")
+    rows = stash(texts.mapInArrow(_profile(n, key_bits), "doc_id long, n_shingles long, key long, check long"), "rows")
+
+    def classed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        got = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("check").alias("c0"), F.max("check").alias("c1"))
+        got = stash(got, "classes")
+        return got, got.where("c0 <> c1").select("key")
+
+    classes, clash = classed(rows)
+    clashing = frozenset(x.key for x in clash.collect())  # of N classes about N * N / 2^65, a few at any size of corpus
+    if clashing:
+        drop(classes)
+        rows = stash(rows.mapInArrow(_rekey(clashing), rows.schema), "rows")
+        classes, clash = classed(rows)
+        if clash.limit(1).count():
+            raise RuntimeError("two different shingle sets share 128 bits of hash")
+    key_of = partial(_set_key, clashing=clashing, bits=key_bits)
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     bits = min(64, max(43, total.bit_length() + 15))  # chance puts one signature in some ten thousand into another's bucket
-    by_sig = Window.partitionBy("sig").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    buckets = stash(
-        texts.select("text").mapInArrow(_signed(n, num, den, bits), "sig long, key long").select("sig", "key", F.first("key").over(by_sig).alias("hub")).where("key <> hub").distinct(),
-        "buckets",
-    )
-    release_shuffles(spark)
+    signed = texts.select("text").mapInArrow(_signed(n, num, den, bits, key_of), "sig long, key long")
+    # What a signature is shared by combines map-side; only rows of shared signatures are then dealt out, by a join that AQE splits.
+    shared = signed.groupBy("sig").agg(F.min("key").alias("hub"), F.max("key").alias("top")).where("hub <> top").select("sig", "hub")
+    shared = stash(shared, "shared")
+    buckets = bitmap_filter(signed, F.col("sig"), shared, F.col("sig"), shared.count()).distinct().join(shared, "sig").where("key <> hub")
+    buckets = stash(buckets, "buckets")
+    drop(shared)
     member = buckets.select("sig", F.col("key").alias("node")).unionByName(buckets.select("sig", F.col("hub").alias("node")).distinct())
     wide = member.groupBy("sig").agg(F.count("*").alias("width"))
     degree = member.join(wide, "sig").groupBy("node").agg(F.sum("width").alias("degree"))
@@ -257,9 +294,8 @@ def ngram_join(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN
     count = nodes.count()
     if count:
         near = bitmap_filter(texts, F.col("doc_id"), nodes, F.col("rep"), count).select("text")
-        sets = near.mapInArrow(_sets(n), "key long, shingles binary").join(nodes.select("key", "hub"), "key").dropDuplicates(["key"])
+        sets = near.mapInArrow(_sets(n, key_of), "key long, shingles binary").join(nodes.select("key", "hub"), "key").dropDuplicates(["key"])
         sets = stash(sets, "sets")
-        release_shuffles(spark)
 
         def check(left: DataFrame, hubs: DataFrame) -> DataFrame:
             """Whether u and v of left (u, v, x) link; hubs are the distinct v."""
@@ -267,7 +303,6 @@ def ngram_join(docs: DataFrame, n: int = SHINGLE, num: int = NUM, den: int = DEN
             return stash(left.join(right, "v").select("u", "v", "x", "y").mapInArrow(_verified(num, den), "u long, v long, linked boolean"), "pairs")
 
         first = check(sets.where("hub is not null").select(F.col("key").alias("u"), F.col("hub").alias("v"), F.col("shingles").alias("x")), best.select(F.col("hub").alias("v")).distinct())
-        release_shuffles(spark)
         label = components(first.where("linked").select("u", "v"))
         rest = nodes.select(F.col("key").alias("node")).join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
         more = _prefix_pairs(sets, rest, num, den)

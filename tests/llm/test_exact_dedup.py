@@ -43,3 +43,12 @@ def test_long_text_and_hot_group(spark):
 
 def test_empty(spark):
     assert got(spark, []) == []
+
+
+def test_identity_of_every_row(spark):
+    r = random.Random(9)
+    texts = ["".join(r.choice("ab ") for _ in range(r.choice([0, 2, 5, 40, 700]))) for _ in range(120)] * 2 + ["only one", None]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, identity string")
+    of = {x.doc_id: x.identity for x in exact_dedup(df, block=64).collect()}
+    norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for t in texts]
+    assert len(of) == len(texts) and len({(of[i], t) for i, t in enumerate(norm)}) == len(set(of.values())) == len(set(norm))
