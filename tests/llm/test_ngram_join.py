@@ -87,3 +87,14 @@ def test_linked_sets_share_a_signature():
             b = np.sort(np.concatenate([keep, extra[: r.integers(0, len(extra) + 1)]]))
             assert len(np.intersect1d(keep, s)) * 100 >= 85 * len(np.union1d(s, b))
             assert len(np.intersect1d(signatures(s), signatures(b))), (size, drop)
+
+
+def test_equal_keys_of_different_sets(spark):
+    rows = corpus(5)
+    assert got(spark, rows, key_bits=5) == brute(rows)
+
+
+def test_long_text(spark):
+    words = [f"w{i % 977}x{i}" for i in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:50_000], *words[50_100:]])), (3, " ".join(words[30_000:])), (4, "one two three four")]
+    assert got(spark, rows) == brute(rows)
