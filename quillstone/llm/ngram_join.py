@@ -29,9 +29,9 @@ from .text import Words, chunks, mix
 NUM, DEN, SHINGLE = 85, 100, 4
 #: Upper over lower size of a band.
 BAND = 1.4
-#: Bits of slots of the table that tells common features from rare ones, at most; slots of a block of it.
+#: Bits of slots of the tables that tell common features from rare ones, at most; slots of a block of them.
 SLOT_BITS, BLOCK = 24, 1 << 16
-#: Counters of a block that are added in one task.
+#: Tables of a block that are added in one task.
 FAN = 256
 _ARMS = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -162,23 +162,30 @@ def _verified(num: int, den: int):
     return run
 
 
-def _slot_counts(bits: int):
-    """Blocks of how many features fall to each of 2^bits slots, up to 255."""
+def _tally(bits: int):
+    """Blocks of three tables over 2^bits slots: features of a slot, up to 255; eighths of the slot (a bit each) that hold one; that hold two."""
 
     def run(batches):
         import zstandard
         from pyspark import TaskContext
 
-        count = np.zeros(1 << bits, np.uint8)
+        count, once, twice = np.zeros((3, 1 << bits), np.uint8)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(1).slice(at, 500)]
-                slot, n = np.unique((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-                count[slot] = np.minimum(255, count[slot] + n)
-        if count.any():
-            parts = [zstandard.compress(x.tobytes(), 1) for x in count.reshape(-1, BLOCK)]
+                eighth, n = np.unique(np.concatenate(sets) >> np.uint64(61 - bits), return_counts=True)
+                slot, bit = (eighth >> np.uint64(3)).astype(np.int64), np.uint8(1) << (eighth & np.uint64(7)).astype(np.uint8)
+                first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1]))) if len(slot) else np.zeros(0, np.int64)
+                if len(first):
+                    slot, held = slot[first], np.bitwise_or.reduceat(bit, first)
+                    twice[slot] |= np.bitwise_or.reduceat(np.where(n > 1, bit, 0).astype(np.uint8), first) | once[slot] & held
+                    once[slot] |= held
+                    count[slot] = np.minimum(255, count[slot] + np.add.reduceat(n, first))
+        if once.any():
+            tables = np.stack([count, once, twice]).reshape(3, -1, BLOCK)
+            parts = [zstandard.compress(tables[:, i].tobytes(), 1) for i in range(tables.shape[1])]
             part = np.full(len(parts), TaskContext.get().partitionId() // FAN, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(part), pa.array(parts, pa.binary())], ["block", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(part), pa.array(parts, pa.binary())], ["block", "part", "tables"])
 
     return run
 
@@ -186,10 +193,13 @@ def _slot_counts(bits: int):
 def _summed(g):
     import zstandard
 
-    total = np.zeros(BLOCK, np.int64)
-    for x in g["counts"]:
-        total += np.frombuffer(zstandard.decompress(x), np.uint8)
-    return g.iloc[:1].assign(part=g["part"].iloc[0] // FAN, counts=[zstandard.compress(np.minimum(255, total).astype(np.uint8).tobytes(), 1)])
+    total, once, twice = np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.uint8), np.zeros(BLOCK, np.uint8)
+    for x in g["tables"]:
+        n, one, two = np.frombuffer(zstandard.decompress(x), np.uint8).reshape(3, BLOCK)
+        total += n
+        twice |= two | once & one
+        once |= one
+    return g.iloc[:1].assign(part=g["part"].iloc[0] // FAN, tables=[zstandard.compress(np.stack([np.minimum(255, total).astype(np.uint8), once, twice]).tobytes(), 1)])
 
 
 def _prefixes(common, bits: int, num: int, den: int):
@@ -201,9 +211,11 @@ def _prefixes(common, bits: int, num: int, den: int):
                 for x in part.column(1):
                     s = np.frombuffer(x.as_buffer(), np.uint64)
                     n = len(s) - (len(s) * num + den - 1) // den + 1
-                    held = common.value[(s >> np.uint64(64 - bits)).astype(np.int64)]
-                    first = np.lexsort((s, held))[:n]
-                    place = np.flatnonzero(held[first] > 1)  # a slot of one is a feature that nothing shares
+                    count, twice = common.value
+                    slot = (s >> np.uint64(64 - bits)).astype(np.int64)
+                    first = np.lexsort((s, count[slot]))[:n]
+                    shared = twice[slot[first]] >> (s[first] >> np.uint64(61 - bits) & np.uint64(7)).astype(np.uint8) & 1
+                    place = np.flatnonzero(shared)  # where an eighth of a slot holds one, nothing shares the feature
                     sizes.append(len(s))
                     features.append(s[first[place]].view(np.int64))
                     places.append(place)
@@ -226,12 +238,13 @@ def _prefix_pairs(sets: DataFrame, labels: DataFrame, num: int, den: int) -> Dat
 
     n = (sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0) // 8
     bits = max(16, min(SLOT_BITS, (4 * n).bit_length()))
-    counts, schema = sets.select("key", "shingles").mapInArrow(_slot_counts(bits), "block int, part int, counts binary"), "block int, part int, counts binary"
-    counts = counts.groupBy("block", "part").applyInPandas(_summed, schema).groupBy("block").applyInPandas(_summed, schema)  # FAN counters of a block meet, then the sums
-    table = np.zeros(1 << bits, np.uint8)
-    for block, _, blob in counts.collect():  # 2^bits bytes at most
-        table[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(zstandard.decompress(blob), np.uint8)
-    common = sets.sparkSession.sparkContext.broadcast(table)
+    schema = "block int, part int, tables binary"
+    tallied = sets.select("key", "shingles").mapInArrow(_tally(bits), schema)
+    tallied = tallied.groupBy("block", "part").applyInPandas(_summed, schema).groupBy("block").applyInPandas(_summed, schema)  # FAN blocks meet, then their sums
+    tables = np.zeros((2, 1 << bits), np.uint8)
+    for block, _, blob in tallied.collect():  # 2^bits slots at most
+        tables[:, block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(3, BLOCK)[[0, 2]]
+    common = sets.sparkSession.sparkContext.broadcast(tables)
     placed = sets.select("key", "shingles").mapInArrow(_prefixes(common, bits, num, den), "node long, size long, feature long, place long")
     placed = stash(placed.join(labels, "node"), "prefixes")
     a = placed.where(f"(size - place) * {num + den} >= 2 * size * {num}").select("feature", *(F.col(c).alias(c + "_a") for c in ("node", "label", "size", "place")))
