@@ -207,27 +207,34 @@ def dedupe_rank(spark, sf):
 @query(f"""with {DENSE.format("true")} select query_id, max(score) >= 0.5 as answerable from dense where id <> query_id * 50 group by 1""")
 def no_answer_gate(spark, sf):
     v, q = _vectors(spark, sf)
-    h = retrieval.dense(v, q, 100_000).where("id <> query_id * 50").withColumn("dense_score", F.col("score"))
+    h = retrieval.dense(v, q, 2).where("id <> query_id * 50").withColumn("dense_score", F.col("score"))  # a vector's own row is one of the two at most
     return retrieval.answerable(h)
 
 
-@query()
-def round_robin_select(spark, sf):
-    """Ordered steps on the driver over top-k rows; the tests hold them against literal cases."""
-    rows = [r.asDict() for r in _hits(spark, sf).where("rank <= 20").join(chunks(spark, sf).select("id", "text"), "id").orderBy("query_id", "rank").collect()]
-    groups = [(f"T{q}", [r for r in rows if r["query_id"] == q]) for q in sorted({r["query_id"] for r in rows})]
-    got = retrieval.interleave(groups, 12)
-    return spark.createDataFrame([(r["rank"], r["id"], ",".join(r["task_ids"])) for r in got], "rank int, id long, task_ids string")
+BODY = "regexp_replace(text, '^[{WS}]+|[{WS}]+$', '', 'g')"
 
 
-@query()
+@query(f"""with {TF}, {QTERMS}, {SCORED}, {HITS}, r as (select query_id // 8 as request, query_id, rank, id, {BODY} as body from hits join documents on doc_id = id where rank <= 20),
+    o as (select *, row_number() over (partition by request order by rank, query_id) as p from r), f as (select *, min(p) over (partition by request, body) as fp from o),
+    c as (select request, p, id, row_number() over (partition by request order by p) as n from f where p = fp), l as (select request, max(p) filter (n = 12) as most from c group by 1),
+    t as (select request, fp, query_id, min(p) as tp from f join l using (request) where p <= coalesce(most, p) group by 1, 2, 3)
+    select request, n::int as rank, id, string_agg(query_id::varchar, ',' order by tp) as task_ids from c join t on t.request = c.request and t.fp = c.p where n <= 12 group by 1, 2, 3""".replace("select request, n::int", "select c.request, n::int"))
+def round_robin_select(spark, sf):
+    """Eight benchmark passages are the tasks of a request."""
+    h = _hits(spark, sf).where("rank <= 20").join(chunks(spark, sf).select("id", "text"), "id")
+    h = h.withColumns({"request": F.expr("query_id div 8"), "task": F.format_string("%012d", "query_id")})
+    return retrieval.round_robin(h, 12).withColumn("task_ids", F.regexp_replace("task_ids", r"\b0+(?=\d)", ""))
+
+
+@query(f"""with recursive {TF}, {QTERMS}, {SCORED}, {HITS}, r as (select query_id, rank, id, {BODY} as body, statement_family, statement_scope from hits join documents on doc_id = id),
+    one as (select *, row_number() over (partition by query_id order by rank, id) as k from (select * from r qualify row_number() over (partition by query_id, body order by rank, id) = 1)),
+    w as (select *, length('semantic_family=' || statement_family || '; scope=' || statement_scope || '; period_end=None; unit=None; table_group_id=None') + 1 + length(body) as size from one),
+    s as (select query_id, 0::bigint as k, 0::bigint as used, 0::bigint as n, false as took, null::bigint as id, 0::bigint as n_chars from (select distinct query_id from w)
+      union all select s.query_id, w.k, s.used + case when x.fits then x.cost else 0 end, s.n + x.fits::int, x.fits, w.id, length(w.body) from s join w on w.query_id = s.query_id and w.k = s.k + 1,
+      lateral (select cost, s.used + cost <= 12000 as fits from (select w.size + length('[S' || (s.n + 1) || ']') + 1 + case when s.n > 0 then 2 else 0 end as cost)) x)
+    select query_id, 'S' || n as evidence_id, id, n_chars::int as n_chars, true as within from s where took""")
 def assemble_context(spark, sf):
-    rows = [r.asDict() for r in _hits(spark, sf).join(chunks(spark, sf).select("id", "text"), "id").orderBy("query_id", "rank").collect()]
-    out = []
-    for q in sorted({r["query_id"] for r in rows}):
-        got = retrieval.assemble([r for r in rows if r["query_id"] == q], 12_000)
-        out += [(q, c["evidence_id"], c["id"], len(c["context_text"]), len(got["context"]) <= 12_000) for c in got["citations"]]
-    return spark.createDataFrame(out, "query_id long, evidence_id string, id long, n_chars int, within boolean")
+    return retrieval.contexts(_hits(spark, sf).join(chunks(spark, sf).select("id", "text"), "id"))
 
 
 # --- text -------------------------------------------------------------------------------------------------------------
@@ -535,6 +542,25 @@ def table_score(spark, sf):
     return scoring.table_coverage(t, ids)
 
 
+@query(f"""with {TOK} select id::varchar as document, n as n_tokens, n as covered_tokens, 0::bigint as lost_tokens, 0::bigint as internal_duplicates, 1.0::double as span_validity from t where n > 0""")
+def chunk_coverage(spark, sf):
+    """What the chunks of every document hold of its tokens, as counted by SQL: each of them, none twice in one chunk."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document"), F.length("text").alias("n_chars"), F.size(text.word_tokens("text")).alias("n_tokens"))
+    spans = scoring.span_rows(chunking.chunk(_doc_records(spark, sf))).withColumn("record_id", F.col("document"))  # a document is one record
+    got = scoring.text_coverage(d.where("n_tokens > 0").select(F.col("document").alias("record_id"), "n_chars", "n_tokens"), spans)
+    whole = [F.col(c).cast("long").alias(c) for c in ("n_tokens", "covered_tokens", "lost_tokens", "internal_duplicates")]
+    return got.select(F.col("record_id").alias("document"), *whole, "span_validity")
+
+
+@query("""select l_orderkey::varchar as document, count(*) as body_rows, count(*) as covered_rows, 0::bigint as lost_rows, 1.0::double as row_coverage, true as matrix_kept from lineitem group by 1""")
+def table_row_coverage(spark, sf):
+    """What the chunks of every table hold of its rows, as counted by SQL."""
+    c = _table_chunks(spark, sf)
+    t = _matrices(spark, sf).select(F.col("table_id").alias("record_id"), "matrix")
+    got = scoring.table_coverage(t, c.withColumn("source_record_ids", F.array("document")))
+    return got.select(F.col("record_id").alias("document"), *(F.col(x).cast("long").alias(x) for x in ("body_rows", "covered_rows", "lost_rows")), "row_coverage", "matrix_kept")
+
+
 # --- metadata ---------------------------------------------------------------------------------------------------------
 
 FINANCE = (
@@ -646,7 +672,9 @@ def citation_alignment(spark, sf):
     h = bm25.top(bm25.scores(bm25.build(chunks(spark, sf)), asked(spark, sf)).withColumn("score", F.round("score", 9)), 20)
     h = h.join(chunks(spark, sf).select("id", F.col("lang").alias("source_format")), "id")
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("f"))
-    e = b.join(chunks(spark, sf), F.col("text").contains(F.col("f")), "left").groupBy("query_id").agg(F.collect_set("id").alias("expected_ids"), F.lit("en").alias("expected_source_format"))
+    some = chunks(spark, sf).join(bounded(b), F.col("text").contains(F.col("f"))).groupBy("query_id").agg(F.collect_set("id").alias("expected_ids"))
+    none = F.array().cast("array<long>")
+    e = b.select("query_id").join(some, "query_id", "left").select("query_id", F.coalesce("expected_ids", none).alias("expected_ids"), F.lit("en").alias("expected_source_format"))
     return evaluation.aligned(h, e)
 
 

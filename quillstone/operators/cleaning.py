@@ -23,7 +23,8 @@ EDGE = 3
 def page_lines(pages: DataFrame, text: str = "text") -> DataFrame:
     """(doc, page, pos, line, n, at_edge) of the non-empty normalised lines of pages (doc, page, text); pos from 1."""
     full = F.filter(lines(text), lambda x: x != "")
-    rows = pages.select("doc", "page", F.size(full).alias("n"), F.posexplode(full).alias("pos", "line")).withColumn("pos", F.col("pos") + 1)
+    split = pages.select("doc", "page", full.alias("__lines")).withColumn("n", F.size("__lines"))  # split once a page, not once a line
+    rows = split.select("doc", "page", "n", F.posexplode("__lines").alias("pos", "line")).withColumn("pos", F.col("pos") + 1)
     return rows.withColumn("at_edge", (F.col("pos") <= EDGE) | (F.col("pos") > F.greatest(F.lit(EDGE), F.col("n") - EDGE)))
 
 

@@ -1,7 +1,7 @@
 """Ranked retrieval: dense, fused, diversified, de-duplicated lists, and evidence within a budget.
 
-Lists are DataFrames (query_id, id, rank, score, ...). What depends on order across a few dozen hits of one request runs
-on the driver, over rows that a top-k has already bounded.
+Lists are DataFrames (query_id, id, rank, score, ...). What depends on order across the few dozen hits of a request, which a
+top-k has already bounded, is a fold: on the driver for one request, a group each for many.
 """
 
 from __future__ import annotations
@@ -125,74 +125,121 @@ def row_parts(text: Column) -> tuple[Column, Column]:
     return F.coalesce(label, F.lit("")), F.exists(rest, lambda v: v.rlike(r"\d") & ~F.lower(F.trim(v)).isin("空值", "none", "null"))
 
 
+def _marks(hit: dict) -> list[tuple[str, str]]:
+    """What a hit is known by: its id, its text, and its group where the whole table comes with it."""
+    text, group = (hit.get("text") or "").strip(), hit.get("table_group_id") if hit.get("matrix") else None
+    return [(kind, str(v)) for kind, v in (("id", hit.get("id")), ("text", text), ("table", group)) if v not in (None, "")]
+
+
 def interleave(tasks: list[tuple[str, list[dict]]], limit: int) -> list[dict]:
-    """Round-robin over tasks' hits (driver rows); a hit seen before by id, text or whole table only gains the task's id."""
-    chosen: list[dict] = []
-    seen: dict[tuple[str, str], dict] = {}
-    for d in range(max((len(h) for _, h in tasks), default=0)):
-        for task, hits in tasks:
-            if d >= len(hits) or len(chosen) >= limit:
-                continue
-            hit = hits[d]
-            text, group = (hit.get("text") or "").strip(), hit.get("table_group_id")
-            keys = [("id", hit.get("id") or "")] + [("text", text)] * bool(text) + [("table", group)] * bool(group and hit.get("matrix"))
-            if not keys[0][1]:
-                continue
-            old = next((seen[k] for k in keys if k in seen), None)
-            if old is not None:
-                if task not in old["task_ids"]:
-                    old["task_ids"].append(task)
-                continue
-            new = dict(hit) | {"task_ids": [task], "rank": len(chosen) + 1}
-            chosen.append(new)
-            seen.update((k, new) for k in keys)
-    return chosen
+    """The first limit distinct hits of tasks' ranked lists, rank by rank and task by task, each with the tasks that found it by then.
+
+    Two hits are one where they share an id, a text or a whole table; hits without an id are left out.
+    """
+    turns = sorted((depth, t) for t, (_, hits) in enumerate(tasks) for depth in range(len(hits)))
+    place: dict[tuple[str, str], int] = {}
+    kept: list[dict] = []
+    found: list[dict[str, None]] = []
+    for depth, t in turns:
+        if len(kept) == limit:
+            break
+        task, hit = tasks[t][0], tasks[t][1][depth]
+        marks = _marks(hit)
+        if not marks or marks[0][0] != "id":
+            continue
+        at = min((place[m] for m in marks if m in place), default=len(kept))
+        if at == len(kept):
+            place.update(dict.fromkeys(marks, at))
+            kept.append(hit)
+            found.append({})
+        found[at][task] = None
+    return [hit | {"task_ids": [*names], "rank": n} for n, (hit, names) in enumerate(zip(kept, found, strict=True), 1)]
+
+
+def round_robin(hits: DataFrame, limit: int) -> DataFrame:
+    """interleave() of every request's tasks: (request, rank, id, task_ids) of hits (request, task, rank, id, text).
+
+    A request is a group of as many rows as its tasks' top-k lists have, and one is folded without the others.
+    """
+
+    def run(g):
+        import pandas as pd
+
+        names = ["request", "rank", "id", "task_ids"]
+        g = g.sort_values(["task", "rank", "id"])
+        tasks = [(str(t), part[["id", "text"]].to_dict("records")) for t, part in g.groupby("task", sort=True)]
+        rows = [(g["request"].iloc[0], r["rank"], r["id"], ",".join(r["task_ids"])) for r in interleave(tasks, limit)]
+        return pd.DataFrame(rows, columns=names)
+
+    kinds = dict(hits.dtypes)
+    return hits.select("request", "task", "rank", "id", "text").groupBy("request").applyInPandas(run, f"request {kinds['request']}, rank int, id {kinds['id']}, task_ids string")
+
+
+# The line that leads a block, the head of a table in it, the mark of a cut one, what absent values are called.
+BLOCK_LINE = "semantic_family={}; scope={}; period_end={}; unit={}; table_group_id={}"
+BLOCK_FIELDS = ("statement_family", "statement_scope", "period_end", "unit", "table_group_id")
+TABLE_HEAD, TABLE_CUT = "完整表格上下文：\n", "\n[表格上下文已截断]"
+ABSENT = (("statement_families", "statement_family", "other"), ("statement_scopes", "statement_scope", "unknown"), ("period_ends", "period_end", "unknown"), ("units", "unit", "unknown"))
+
+
+def _block(n: int, hit: dict, body: str) -> str:
+    return f"[S{n}]\n{BLOCK_LINE.format(*(hit.get(f) for f in BLOCK_FIELDS))}\n{body}"
+
+
+def _table(matrix: list, room: int) -> str:
+    """A matrix as text of room characters at most; empty where not even its head and the mark fit."""
+    full = TABLE_HEAD + "\n".join(" | ".join(str(c or "").strip() for c in row) for row in matrix)
+    if len(full) <= room:
+        return full
+    return full[: room - len(TABLE_CUT)].rstrip() + TABLE_CUT if room > len(TABLE_HEAD) + len(TABLE_CUT) else ""
 
 
 def assemble(hits: list[dict], budget: int = 12_000, table_share: int = 6002) -> dict:
-    """Evidence blocks of ranked hits within a number of characters: oversized ones are skipped, then tables fill what is left.
+    """Evidence blocks of ranked hits within budget characters: one that doesn't fit is passed over; tables then share what is left.
 
-    Gives context, citations (with evidence_id S1, S2, ...) and coverage.
+    A text or a whole table is told once. Gives context, citations (with evidence_id S1, S2, ...) and coverage.
     """
-    head, mark = "完整表格上下文：\n", "\n[表格上下文已截断]"
-    fields = ("statement_family", "statement_scope", "period_end", "unit", "table_group_id")
-    blocks: list[dict] = []
-    texts, groups, used = set(), set(), 0
+    bodies: list[str] = []
+    taken: list[dict] = []
+    told: set[tuple[str, str]] = set()
+    free = budget
     for hit in hits:
-        text, group, matrix = (hit.get("text") or "").strip(), hit.get("table_group_id") or "", hit.get("matrix")
-        if not text or text in texts or (group and matrix and group in groups):
-            continue
-        name = f"S{len(blocks) + 1}"
-        line = "semantic_family={}; scope={}; period_end={}; unit={}; table_group_id={}".format(*(hit.get(f) for f in fields))
-        size = len(f"[{name}]\n{line}\n{text}") + 2 * bool(blocks)
-        if used + size > budget:
+        marks = [m for m in _marks(hit) if m[0] != "id"]
+        if not marks or marks[0][0] != "text" or told.intersection(marks):
             continue
-        used += size
-        texts.add(text)
-        if group and matrix:
-            groups.add(group)
-        blocks.append({"hit": hit, "name": name, "line": line, "text": text, "matrix": matrix})
-    tables = [b for b in blocks if b["matrix"]]
-    for left, b in zip(range(len(tables), 0, -1), tables, strict=True):
-        room = min(table_share, (budget - used) // left) - 2
-        table = head + "\n".join(" | ".join(str(c or "").strip() for c in row) for row in b["matrix"])
-        if len(table) > room:
-            if room <= len(head) + len(mark):
-                continue
-            table = table[: room - len(mark)].rstrip() + mark
-        b["text"] += "\n\n" + table
-        used += len(table) + 2
-    cites = [{k: v for k, v in b["hit"].items() if k not in ("text", "matrix")} | {"evidence_id": b["name"], "context_text": b["text"]} for b in blocks]
-    each = lambda f, none: sorted({str(c.get(f) or none) for c in cites})
-    return {
-        "context": "\n\n".join(f"[{b['name']}]\n{b['line']}\n{b['text']}" for b in blocks),
-        "citations": cites,
-        "coverage": {
-            "statement_families": each("statement_family", "other"), "statement_scopes": each("statement_scope", "unknown"),
-            "period_ends": each("period_end", "unknown"), "units": each("unit", "unknown"),
-            "table_groups": len({str(c.get("table_group_id") or c.get("id")) for c in cites}),
-        },
-    }
+        body = marks[0][1]
+        cost = len(_block(len(taken) + 1, hit, body)) + (2 if taken else 0)
+        if cost <= free:
+            free -= cost
+            told.update(marks)
+            taken.append(hit)
+            bodies.append(body)
+    wide = [i for i, hit in enumerate(taken) if hit.get("matrix")]
+    for waiting, i in zip(range(len(wide), 0, -1), wide, strict=True):
+        table = _table(taken[i]["matrix"], min(table_share, free // waiting) - 2)
+        if table:
+            bodies[i] += "\n\n" + table
+            free -= len(table) + 2
+    cites = [{k: v for k, v in hit.items() if k not in ("text", "matrix")} | {"evidence_id": f"S{n}", "context_text": body} for n, (hit, body) in enumerate(zip(taken, bodies, strict=True), 1)]
+    coverage = {name: sorted({str(c.get(f) or none) for c in cites}) for name, f, none in ABSENT}
+    coverage["table_groups"] = len({str(c.get("table_group_id") or c.get("id")) for c in cites})
+    return {"context": "\n\n".join(_block(n, hit, body) for n, (hit, body) in enumerate(zip(taken, bodies, strict=True), 1)), "citations": cites, "coverage": coverage}
+
+
+def contexts(hits: DataFrame, budget: int = 12_000) -> DataFrame:
+    """assemble() of every query's hits (query_id, id, rank, text, statement_family, statement_scope): (query_id, evidence_id, id, n_chars, within)."""
+
+    def run(g):
+        import pandas as pd
+
+        rows = g.sort_values(["rank", "id"]).to_dict("records")
+        got = assemble(rows, budget)
+        out = [(rows[0]["query_id"], c["evidence_id"], c["id"], len(c["context_text"]), len(got["context"]) <= budget) for c in got["citations"]]
+        return pd.DataFrame(out, columns=["query_id", "evidence_id", "id", "n_chars", "within"])
+
+    kinds = dict(hits.dtypes)
+    one = hits.select("query_id", "id", "rank", "text", "statement_family", "statement_scope")
+    return one.groupBy("query_id").applyInPandas(run, f"query_id {kinds['query_id']}, evidence_id string, id {kinds['id']}, n_chars int, within boolean")
 
 
 REQUIRED = ("source_file", "company_id", "fiscal_year", "source_format", "statement_family", "statement_scope", "period_end", "unit", "table_group_id")
