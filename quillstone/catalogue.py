@@ -864,6 +864,97 @@ def usage_summary(spark, sf):
     return evaluation.usage(d, "lang")
 
 
+# --- what chunks say of themselves ------------------------------------------------------------------------------------
+
+
+def _described(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.col("source").alias("table_title"), F.col("lang").alias("section_path"), F.col("text").alias("chunk_text"), F.array(F.array("source", F.lit(None).cast("string")), F.array("lang")).alias("raw_matrix"))
+
+
+SAID = "regexp_replace(source || ' ' || lang || case when text <> '' then ' ' || text else '' end || ' ' || source || '  ' || lang, '^[{WS}]+|[{WS}]+$', '', 'g')"
+
+
+@query(f"select doc_id, md5({SAID}) as said from documents")
+def search_text(spark, sf):
+    d = _described(spark, sf)
+    return d.select("doc_id", F.md5(semantic.search_text(d)).alias("said"))
+
+
+@query(f"""select doc_id, case when doc_id % 3 = 0 or doc_id % 4 = doc_id % 5 then (doc_id % 4)::int end as page, case when family <> 'other' then family else 'notes' end as statement_family, coalesce(nullif(source, 'src3'), 'doc:' || doc_id) as table_group_id
+    from ({_family_sql()}) join documents using (doc_id)""")
+def citation_struct(spark, sf):
+    d = table(spark, sf, "documents")
+    page, end = (F.col("doc_id") % 4).cast("int"), F.when(F.col("doc_id") % 3 != 0, (F.col("doc_id") % 5).cast("int"))
+    own = F.when(F.col("source") != "src3", F.col("source"))
+    h = d.select("doc_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("text").alias("chunk_text"), page.alias("page_start"), end.alias("page_end"), F.lit("notes").alias("statement_family"), own.alias("table_group_id"))
+    return semantic.citation(h).select("doc_id", "citation.page", "citation.statement_family", "citation.table_group_id")
+
+
+@query("""with c as (select c_custkey::varchar as company_id, c_name, c_mktsegment from customer), a as (select company_id, unnest([company_id, c_name, c_mktsegment, case when company_id = '7' then 'Seven Seas' end]) as alias from c)
+    select lower(alias) as alias, min(company_id) as company_id from a where alias <> '' group by 1""")
+def index_aliases(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("company_id"), F.col("c_name").alias("company_name"), F.col("c_mktsegment").alias("ticker"))
+    return bm25.company_aliases(c, {"7": ["Seven Seas"]})
+
+
+@query("select distinct unnest(['fiscal_year', 'source_format', 'report_type']) as kind, unnest([year(o_orderdate)::varchar, o_orderstatus, o_orderpriority]) as value from orders")
+def index_values(spark, sf):
+    o = table(spark, sf, "orders").select(F.year("o_orderdate").alias("fiscal_year"), F.col("o_orderstatus").alias("source_format"), F.col("o_orderpriority").alias("report_type"))
+    return bm25.known_values(o)
+
+
+@query("""select l_orderkey::varchar as table_group_id, l_linenumber as line, count(*) over (partition by l_orderkey) + 1 as rows from lineitem""")
+def chunk_matrix_join(spark, sf):
+    m = _matrices(spark, sf).withColumnsRenamed({"table_id": "table_group_id", "matrix": "raw_matrix"})
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("table_group_id"), F.col("l_linenumber").alias("line"))
+    got = sinks.with_matrices(li, sinks.matrices(li.join(m, "table_group_id")))
+    return got.select("table_group_id", "line", F.size("table_matrix").cast("long").alias("rows"))
+
+
+@query(f"""with p as (select source as source_file, doc_id as page, doc_id % 4 as candidate_count, coalesce(n, 0) as accepted_count, note from documents left join (select doc_id, count(*) filter (quality = 1) as n, max(case when toxic = 1 then 'set aside' end) as note from labels group by 1) using (doc_id))
+    select source_file, page, candidate_count, accepted_count, case when accepted_count > 0 then '{pdf.DIAGNOSTIC}' else coalesce(note, '{pdf.NOT_REGISTERED}') end as reason from p where candidate_count <> accepted_count""")
+def excluded_candidates(spark, sf):
+    d, lab = table(spark, sf, "documents").select(F.col("source").alias("source_file"), F.col("doc_id").alias("page")), table(spark, sf, "labels").withColumnRenamed("doc_id", "page")
+    regions, notes = d.join(lab.where("quality = 1"), "page").select("source_file", "page"), d.join(lab.where("toxic = 1"), "page").select("source_file", "page", F.lit("set aside").alias("note"))
+    return pdf.excluded_candidates(d.withColumn("candidate_count", F.col("page") % 4), regions, notes)
+
+
+@query("""select doc_id as case_id, quality = 1 as company_filter_resolution, toxic = 0 as company_isolation, quality = 1 and toxic = 0 and doc_id % 3 <> 0 as retrieval_coverage, quality = 1 and toxic = 0 as grounded_answer, quality = 1 as answer_completeness
+    from labels join documents using (doc_id)""")
+def alias_acceptance(spark, sf):
+    d = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    number = F.format_number("n_chars", 0)
+    c = d.select(
+        F.col("doc_id").alias("case_id"), F.lit("how long?").alias("query"), F.col("lang").alias("expected_company_id"), F.when(F.col("quality") == 1, F.col("lang")).alias("resolved_company_id"), F.array(F.col("n_chars").cast("string")).alias("expected_values"),
+        F.array(F.lit("notes")).alias("required_families"), F.concat(F.lit("It has "), number).alias("answer"), (F.col("quality") == 1).alias("answerable"), (F.col("toxic") == 0).alias("citation_valid"), F.array(F.lit("S1")).alias("citation_ids"),
+    )
+    e = d.select(F.col("doc_id").alias("case_id"), F.explode(F.array("lang", F.when(F.col("toxic") == 1, "other").otherwise(""))).alias("company_id"), F.when(F.col("doc_id") % 3 == 0, "risk").otherwise("notes").alias("statement_family"), F.concat(F.lit("n = "), number).alias("text"))
+    return evaluation.alias_layers(evaluation.check_alias_cases(c), e)
+
+
+GUARDED = r"array_to_string(regexp_extract_all(coalesce({0}, ''), '(?:^|[^\p{L}\p{N}_])(\[\d+\]|[-+]?\d+(?:[.,]\d+)*(?:%|[A-Za-zµμ]+)?)', 1), '|')"
+
+
+@query(f"""{CLEAN}, k as (select doc_id, text, array_to_string(ps, chr(10) || chr(10)) as cleaned from p join t using (doc_id) where doc_id >= 0), b as (select doc_id, {at(GUARDED, "text")} = {at(GUARDED, "cleaned")} as kept from k)
+    select source as doc, count(*) as texts, 0::bigint as tables, true as raw_matrix_unchanged, bool_and(kept) as protected_preserved, true as projection_complete, bool_and(kept) as passed from b join documents using (doc_id) group by 1""")
+def word_clean_validation(spark, sf):
+    s = table(spark, sf, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("seq"), "text", F.lit(None).cast("array<array<string>>").alias("rows"))
+    c = s.select("doc", "seq", text.clean_text("text").alias("cleaned_text"), F.col("rows").alias("raw_matrix"), F.lit(None).cast("string").alias("table_text"))
+    return cleaning.validate_records(s, c)
+
+
+@query("""with t as (select l_orderkey, 'line | key | key' || coalesce(string_agg(l_linenumber || ' | ' || l_partkey || ' | ' || lower(l_returnflag) || ' | ' || case when l_linenumber % 2 = 0 then '' else l_suppkey::varchar end, chr(10)) filter (l_linenumber <> 7), '') as said, bool_and(l_linenumber <> 7) as kept from lineitem group by 1),
+    c as (select l_orderkey, unnest([l_linenumber::varchar, l_partkey::varchar, lower(l_returnflag), l_suppkey::varchar]) as cell from lineitem where l_linenumber = 7), g as (select l_orderkey, bool_and(contains(said, cell)) as shown from c join t using (l_orderkey) group by 1)
+    select l_orderkey::varchar as doc, 0::bigint as texts, 1::bigint as tables, true as raw_matrix_unchanged, kept as protected_preserved, coalesce(shown, true) as projection_complete, kept as passed from t left join g using (l_orderkey)""")
+def sheet_clean_validation(spark, sf):
+    """Tables of order lines; the text of a seventh line is lost on the way and must be missed."""
+    m = _matrices(spark, sf).select(F.col("table_id").alias("doc"), F.lit(0).alias("seq"), F.lit(None).cast("string").alias("text"), F.col("matrix").alias("rows"))
+    lines = F.transform(F.filter("rows", lambda r: ~r[0].eqNullSafe("7")), lambda r: F.array_join(r, " | "))
+    c = m.select("doc", "seq", F.col("text").alias("cleaned_text"), F.col("rows").alias("raw_matrix"), F.array_join(lines, "\n").alias("table_text"))
+    return cleaning.validate_records(m, c)
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Top passages of every benchmark query with statistics of the whole corpus."""
     return bm25_topk(spark, sf)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import text_of
+from .text import strip, text_of
 
 # Phrases of each statement family, in order of precedence.
 FAMILIES: dict[str, tuple[str, ...]] = {
@@ -146,8 +146,62 @@ def region(descriptor: Column, row_labels: Column) -> Column:
     return F.when(F.lower(text_of(descriptor)).contains("geograph") & (F.size(labels) > 0), F.try_element_at(labels, F.lit(-1)))
 
 
-def enrich(chunks, text="chunk_text", fiscal_year=None):
-    """chunks with statement_family, statement_scope (an explicit one stays), period_end, period_years and unit."""
+# The fields that say what a chunk is about, in order.
+SEARCHED = ("table_title", "table_context", "table_title_raw", "section_path", "group_key", "chunk_text", "search_text", "table_header", "raw_matrix")
+
+
+def flat(c: Column, kind) -> Column:
+    """A value of any type as text: items and entries by a space, entries behind their key, nulls empty."""
+    from pyspark.sql import types as T
+
+    if isinstance(kind, T.ArrayType):
+        return F.array_join(F.transform(c, lambda x: flat(x, kind.elementType)), " ")
+    if isinstance(kind, T.MapType):
+        return F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws(" ", e["key"].cast("string"), flat(e["value"], kind.valueType))), " ")
+    if isinstance(kind, T.StructType):
+        return F.concat_ws(" ", *(F.concat_ws(" ", F.lit(f.name), flat(c[f.name], f.dataType)) for f in kind.fields))
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def search_text(chunks) -> Column:
+    """The text that a chunk's metadata is read from: those of SEARCHED that chunks has, flattened, without empty ones."""
+    parts = [flat(F.col(c), chunks.schema[c].dataType) for c in SEARCHED if c in chunks.columns]
+    return strip(F.concat_ws(" ", *(F.when(p != "", p) for p in parts))) if parts else F.lit("")
+
+
+# What a citation tells beside its page and the inferred fields.
+CITED = (
+    "document_id", "company_id", "company_name", "fiscal_year", "source_file", "source_url", "source_format", "source_kind", "page_start", "page_end", "paragraph_index", "table_id",
+    "table_title", "table_context", "region", "period_years", "measure_name", "value_kind", "currency", "unit_scale", "column_headers", "parent_row_labels", "table_title_raw",
+    "sheet_name", "cell_range", "source_location",
+)
+
+
+def citation(hits, fiscal_year: str | None = None):
+    """hits with citation, a struct: what their chunk says of itself, else what its search text does; a family that is inferred comes first.
+
+    page is told only where the chunk stands on one page.
+    """
+    have = set(hits.columns)
+    own = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
+    full = lambda c: F.when(own(c).cast("string") != "", own(c))
+    got = hits.withColumn("__said", search_text(hits))
+    got = got.withColumn("__family", statement_family("__said"))
+    scope, end = statement_scope("__said", "__family"), period_end("__said", fiscal_year)
+    one_page = own("page_start").eqNullSafe(own("page_end")) | own("page_end").isNull()
+    inferred = {
+        "page": F.when(one_page, own("page_start")), "statement_family": F.when(F.col("__family") != "other", F.col("__family")).otherwise(F.coalesce(full("statement_family"), F.lit("other"))),
+        "statement_scope": F.coalesce(full("statement_scope"), scope), "period_end": F.coalesce(full("period_end"), end), "unit": F.coalesce(full("unit"), unit("__said", own("currency"), own("unit_scale"))),
+        "table_group_id": F.coalesce(full("table_group_id"), table_group(own("table_id"), own("document_id"), own("page_start"), own("chunk_id").cast("string"))),
+    }
+    told = {c: own(c) for c in CITED} | {"period_years": own("period_years") if "period_years" in have else period_years("__said")} | inferred
+    return got.withColumn("citation", F.struct(*(c.alias(n) for n, c in told.items()))).drop("__said", "__family")
+
+
+def enrich(chunks, text=None, fiscal_year=None):
+    """chunks with statement_family, statement_scope (an explicit one stays), period_end, period_years and unit, read from text, or from search_text()."""
+    if text is None:
+        return enrich(chunks.withColumn("__said", search_text(chunks)), "__said", fiscal_year).drop("__said")
     have = set(chunks.columns)
     col = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
     family = statement_family(text)

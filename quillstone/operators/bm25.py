@@ -120,3 +120,27 @@ def search(index: Index, queries: DataFrame, k: int = 20, filters: dict | None =
     if k <= 0:
         return scores(index, queries, filters).withColumn("rank", F.lit(0)).limit(0)
     return top(scores(index, queries, filters), k)
+
+
+def company_aliases(chunks: DataFrame, extra: dict[str, list[str]] | None = None) -> DataFrame:
+    """(alias, company_id): each company's id, name and ticker in lower case, and extra ones by id; the least id where two share one."""
+    have = set(chunks.columns)
+    if "company_id" not in have:
+        return chunks.sparkSession.createDataFrame([], "alias string, company_id string")
+    company = F.trim(F.col("company_id").cast("string"))
+    names = [F.trim(F.col(c).cast("string")) for c in ("company_id", "company_name", "ticker") if c in have]
+    found = chunks.select(company.alias("company_id"), F.explode(F.array(*names)).alias("alias"))
+    if extra:
+        more = chunks.sparkSession.createDataFrame([(k.lower(), a) for k, names in extra.items() for a in names], "__key string, alias string")
+        known = chunks.select(company.alias("company_id")).distinct()
+        found = found.unionByName(known.join(F.broadcast(more), F.lower("company_id") == F.col("__key")).select("company_id", "alias"))
+    return found.where("company_id <> '' and alias <> ''").groupBy(F.lower("alias").alias("alias")).agg(F.min("company_id").alias("company_id"))
+
+
+def known_values(chunks: DataFrame) -> DataFrame:
+    """(kind, value): the distinct fiscal years, formats and report types of chunks; years that are no number are left out."""
+    have = set(chunks.columns)
+    year = F.expr("string(try_cast(fiscal_year as int))") if "fiscal_year" in have else F.lit(None).cast("string")
+    other = {c: F.trim(F.col(c).cast("string")) if c in have else F.lit(None).cast("string") for c in ("source_format", "report_type")}
+    pairs = F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in ({"fiscal_year": year} | other).items()))
+    return chunks.select(F.inline(pairs)).where("value <> ''").distinct()

@@ -158,3 +158,30 @@ def validate_clean(records: DataFrame) -> DataFrame:
     return records.groupBy("doc").agg(
         F.count("*").alias("pages"), F.sum((F.col("cleaned_text") == "").cast("int")).alias("empty_pages"), F.sum((~F.col("protected_kept")).cast("int")).alias("lost_tokens")
     ).withColumn("passed", F.col("lost_tokens") == 0)
+
+
+def validate_records(source: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """(doc, texts, tables, raw_matrix_unchanged, protected_preserved, projection_complete, passed) of cleaned word-processor or sheet records.
+
+    source: doc, seq, text, rows (null for a paragraph); cleaned: doc, seq, cleaned_text, raw_matrix, table_text. A record on
+    one side only fails. Every cell that isn't blank must stand in its table's text, in either case; a paragraph keeps its
+    protected tokens in order, a table each of them as often.
+    """
+    s = source.select("doc", "seq", F.col("text").alias("__text"), F.col("rows").alias("__rows"), F.lit(True).alias("__source"))
+    c = cleaned.select("doc", "seq", "cleaned_text", "raw_matrix", F.lower(text_of("table_text")).alias("__said"), F.lit(True).alias("__cleaned"))
+    both = s.join(c, ["doc", "seq"], "full_outer")
+    there = F.col("__source").isNotNull() & F.col("__cleaned").isNotNull()
+    table = F.coalesce(F.col("__rows"), F.col("raw_matrix")).isNotNull()
+    cells = F.filter(F.transform(F.flatten("raw_matrix"), lambda v: F.lower(normalise_line(text_of(v)))), lambda v: v != "")
+    shown = F.coalesce(F.forall(cells, lambda v: F.col("__said").contains(v)), F.lit(True))
+    tokens = lambda t: protected_tokens(text_of(t))
+    numbers = F.flatten(F.transform(F.flatten("raw_matrix"), lambda v: protected_tokens(text_of(v))))
+    often = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
+    said = protected_tokens("__said")
+    kept = F.when(table, F.coalesce(F.forall(F.array_distinct(numbers), lambda x: often(said, x) >= often(numbers, x)), F.lit(True))).otherwise(tokens("__text") == tokens("cleaned_text"))
+    same = F.to_json("__rows").eqNullSafe(F.to_json("raw_matrix"))
+    count = lambda c: F.sum(c.cast("int")).cast("long")
+    got = both.groupBy("doc").agg(
+        count(~table).alias("texts"), count(table).alias("tables"), F.min(there & same).alias("raw_matrix_unchanged"), F.min(there & kept).alias("protected_preserved"), F.min(there & shown).alias("projection_complete"),
+    )
+    return got.withColumn("passed", F.col("raw_matrix_unchanged") & F.col("protected_preserved") & F.col("projection_complete"))

@@ -88,3 +88,40 @@ def usage(calls: DataFrame, by: str) -> DataFrame:
     """Calls, prompt tokens and the share of them served from a cache, of calls (by, prompt_tokens, cached_tokens)."""
     share = F.round(F.sum("cached_tokens").cast("double") / F.nullif(F.sum("prompt_tokens"), F.lit(0)), 6)
     return calls.groupBy(by).agg(F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), share.alias("cache_hit_ratio"))
+
+
+FORBIDDEN_IN_CASES = ("company_id", "fiscal_year", "document_id", "source_format", "report_type")
+
+
+def check_alias_cases(cases: DataFrame) -> DataFrame:
+    """cases (case_id, query, expected_company_id, ...), or an error: explicit filters, repeated ids, empty questions or companies aren't allowed."""
+    if given := sorted(set(FORBIDDEN_IN_CASES) & set(cases.columns)):
+        raise ValueError(f"cases carry filters: {', '.join(given)}")
+    blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
+    n, ids, empty = cases.agg(F.count("*"), F.count_distinct("case_id"), F.sum((blank("query") | blank("expected_company_id")).cast("int"))).first()
+    if not n or ids != n or empty:
+        raise ValueError(f"{n} cases, {ids} ids, {empty or 0} without question or company")
+    return cases
+
+
+def alias_layers(cases: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The five layers of cases that name a company by an alias only.
+
+    cases: case_id, expected_company_id, resolved_company_id, expected_values, required_families, answer, answerable,
+    citation_valid, citation_ids. evidence: case_id, company_id, statement_family, text; its companies must be the
+    expected one alone, and a case without evidence fails.
+    """
+    seen = evidence.groupBy("case_id").agg(
+        F.array_sort(F.collect_set(F.when(F.col("company_id") != "", F.col("company_id")))).alias("companies"), F.collect_set(F.coalesce("statement_family", F.lit(""))).alias("families"),
+        F.concat_ws("\n", F.collect_list("text")).alias("evidence"), F.count("*").alias("n"),
+    )
+    got = cases.join(seen, "case_id", "left")
+    resolved = F.coalesce(F.col("resolved_company_id") == F.col("expected_company_id"), F.lit(False))
+    alone = F.coalesce(F.col("companies") == F.array("expected_company_id"), F.lit(False))
+    held = lambda c: F.forall("expected_values", lambda v: F.coalesce(number_present(v, F.col(c)), F.lit(False)))
+    families = F.size(F.array_except("required_families", F.coalesce("families", F.array().cast("array<string>")))) == 0
+    said = F.coalesce("answerable", F.lit(False)) & held("answer")
+    return got.select(
+        "case_id", resolved.alias("company_filter_resolution"), alone.alias("company_isolation"), (resolved & alone & F.col("n").isNotNull() & held("evidence") & families).alias("retrieval_coverage"),
+        (said & F.coalesce("citation_valid", F.lit(False)) & (F.coalesce(F.size("citation_ids"), F.lit(0)) > 0)).alias("grounded_answer"), said.alias("answer_completeness"),
+    )

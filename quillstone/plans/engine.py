@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.semantic import enrich, infer_filters
+from ..functions.semantic import SEARCHED, enrich, infer_filters
 from ..operators import bm25, retrieval
 from .requests import MODES, Request, candidates, check_plan, expand, expand_fallback, priority_phrases, topic_of, wants_families
 
@@ -44,6 +44,16 @@ class Engine:
     threshold: float = 0.5
     budget: int = 12_000
 
+    @classmethod
+    def of_index(cls, spark: SparkSession, index: bm25.Index, extra: dict[str, list[str]] | None = None, **k) -> Engine:
+        """An engine whose names of companies, years, formats and report types are those of the index's chunks."""
+        aliases = bm25.company_aliases(index.chunks, extra)
+        known: dict[str, list[str]] = {}
+        for kind, value in bm25.known_values(index.chunks).collect():  # a few per column
+            known.setdefault(kind, []).append(value)
+        years = tuple(sorted(int(y) for y in known.get("fiscal_year", [])))
+        return cls(spark, index, aliases=aliases, years=years, formats=tuple(sorted(known.get("source_format", []))), report_types=tuple(sorted(known.get("report_type", []))), **k)
+
     def resolve(self, request: Request) -> Request:
         """The request with what its text says about company, year, format and report type."""
         if self.aliases is None:
@@ -87,7 +97,7 @@ class Engine:
         got = hits.join(c, "id")
         own = [x for x in ("statement_family", "period_end", "unit") if x in have]
         got = got.withColumnsRenamed({x: f"__{x}" for x in own})
-        got = enrich(got, "text", "fiscal_year" if "fiscal_year" in have else None)
+        got = enrich(got, None if have.intersection(SEARCHED) else "text", "fiscal_year" if "fiscal_year" in have else None)
         full = lambda x: F.when(F.col(f"__{x}").cast("string") != "", F.col(f"__{x}"))
         for x in own:
             said = F.when(F.col(x) != "other", F.col(x)) if x == "statement_family" else None

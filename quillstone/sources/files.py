@@ -198,9 +198,22 @@ def read_jsonl(spark: SparkSession, path: str, schema=None, drop_meta: bool = Tr
     return df.where(~F.col("record_type").eqNullSafe(F.lit("document_meta"))) if drop_meta and "record_type" in df.columns else df
 
 
-def read_chunks(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Chunk files *.chunks.jsonl with their file; chunk ids that are missing or not unique raise."""
-    df = spark.read.schema(schema).option("mode", "FAILFAST").option("pathGlobFilter", "*.chunks.jsonl").json(path).withColumn("_source_file", F.col("_metadata.file_path"))
+def read_chunks(spark: SparkSession, path: str, schema, cleaned: DataFrame | None = None) -> DataFrame:
+    """Chunk files *.chunks.jsonl with _chunk_file and _source_file, metadata read from their text; chunk ids that are missing or not unique raise.
+
+    _source_file is that of the first of a chunk's source records that cleaned (record_id, source_file) knows, else empty.
+    """
+    from ..functions.semantic import enrich
+
+    df = spark.read.schema(schema).option("mode", "FAILFAST").option("pathGlobFilter", "*.chunks.jsonl").json(path).withColumn("_chunk_file", F.col("_metadata.file_name"))
+    if cleaned is not None and "source_record_ids" in df.columns:
+        known = cleaned.where("source_file <> ''").select("record_id", F.col("source_file").alias("__file"))
+        used = df.select("chunk_id", F.posexplode("source_record_ids").alias("__at", "record_id")).join(known, "record_id")
+        first = used.groupBy("chunk_id").agg(F.min_by("__file", "__at").alias("__file"))
+        df = df.join(first, "chunk_id", "left").withColumn("_source_file", F.coalesce("__file", F.lit(""))).drop("__file")
+    else:
+        df = df.withColumn("_source_file", F.lit(""))
+    df = enrich(df)
     bad = df.groupBy("chunk_id").count().where("chunk_id is null or chunk_id = '' or count > 1").limit(1).collect()
     if bad:
         raise ValueError(f"chunk_id {bad[0].chunk_id!r} is missing or not unique")

@@ -118,3 +118,21 @@ def heuristic_table(words: list[dict], rules: list[dict], box: tuple[float, floa
     if len(rows) - heads < 3 or len(rows[0]) < 3:
         return None
     return {"matrix": rows, "header_row_count": heads, "merged_cells": []} | context(words, box[1], page_text)
+
+
+# Why candidates of a whole page aren't tables.
+NOT_REGISTERED = "No visually verified table region is registered for this page."
+DIAGNOSTIC = "Whole-page candidates are diagnostic only; the explicit region registry is authoritative."
+
+
+def excluded_candidates(pages: DataFrame, accepted: DataFrame, notes: DataFrame) -> DataFrame:
+    """(source_file, page, candidate_count, accepted_count, reason) of pages (source_file, page, candidate_count) whose candidates aren't all tables.
+
+    accepted has a row (source_file, page) for each registered region; notes (source_file, page, note) say why a page has none.
+    """
+    key = ["source_file", "page"]
+    got = pages.join(accepted.groupBy(*key).agg(F.count("*").alias("accepted_count")), key, "left").na.fill(0, ["accepted_count"])
+    got = got.where((F.col("candidate_count") != F.col("accepted_count")) & ((F.col("candidate_count") > 0) | (F.col("accepted_count") > 0)))
+    why = notes.groupBy(*key).agg(F.min("note").alias("note"))
+    reason = F.when(F.col("accepted_count") == 0, F.coalesce("note", F.lit(NOT_REGISTERED))).otherwise(DIAGNOSTIC)
+    return got.join(why, key, "left").select(*key, "candidate_count", "accepted_count", reason.alias("reason"))

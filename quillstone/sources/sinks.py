@@ -61,6 +61,11 @@ def matrices(chunks: DataFrame) -> DataFrame:
     return m.select("table_group_id", F.from_json(F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(clash.cast("string")), "array<array<string>>").alias("raw_matrix"))
 
 
+def with_matrices(chunks: DataFrame, registry: DataFrame) -> DataFrame:
+    """chunks with table_matrix, the whole matrix of their table group in registry (see matrices()); null without one."""
+    return chunks.join(registry.select("table_group_id", F.col("raw_matrix").alias("table_matrix")), "table_group_id", "left")
+
+
 class PointStore:
     """Points (point_id, chunk_id, vector, payload columns) in versioned Parquet folders under a root.
 
