@@ -80,24 +80,30 @@ def context(words: list[dict], top: float, page_text: str, above: float = 160, k
     return {"table_title": title, "table_context": "\n".join(lines) or None, "statement_scope": "unknown"}
 
 
+# The least length of a rule; how far above and below a table one may stand, and beyond its sides; how far the
+# left and the right ends of one column's rules lie apart; where number columns begin; how much wider a spanning rule is.
+RULE, ABOVE, BELOW, SIDE, LEFTS, RIGHTS, NUMBERS, WIDER = 20, 40, 3, 3, 3, 5, 0.35, 8
+
+
+def islands(values: list, key: Callable, gap: float) -> list[list]:
+    """values by key, parted where two neighbours lie more than gap apart."""
+    order = sorted(values, key=key)
+    cuts = [0, *(i for i in range(1, len(order)) if key(order[i]) - key(order[i - 1]) > gap), len(order)]
+    return [order[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+
 def rule_columns(rules: list[dict], box: tuple[float, float, float, float]) -> list[tuple[float, float]]:
-    """Label and number columns from horizontal rules: clustered, on the right, without those that span smaller ones."""
+    """Label and number columns from horizontal rules: islands of their ends, on the right, without those that span a narrower one."""
     x0, top, x1, bottom = box
-    groups: list[list[float]] = []
-    for r in rules:
-        a, b = r["x0"], r["x1"]
-        if b - a < 20 or not top - 40 <= r["top"] <= bottom + 3 or a < x0 - 3 or b > x1 + 3:
-            continue
-        near = next((g for g in groups if abs(a - g[0]) <= 3 and abs(b - g[1]) <= 5), None)
-        if near:
-            n = near[2]
-            near[:] = [(near[0] * n + a) / (n + 1), (near[1] * n + b) / (n + 1), n + 1]
-        else:
-            groups.append([a, b, 1])
-    right = sorted((g[0], g[1]) for g in groups if g[0] >= x0 + (x1 - x0) * 0.35)
-    spans = lambda s, o: o != s and s[0] <= o[0] + 1 and s[1] >= o[1] - 1 and s[1] - s[0] > o[1] - o[0] + 8
-    least = [s for s in right if not any(spans(s, o) for o in right)]
-    return [(x0, least[0][0] - 1), *least] if len(least) >= 2 and x0 < least[0][0] - 1 else []
+    ends = [(r["x0"], r["x1"]) for r in rules if r["x1"] - r["x0"] >= RULE and -ABOVE <= r["top"] - top and r["top"] - bottom <= BELOW and r["x0"] >= x0 - SIDE and r["x1"] <= x1 + SIDE]
+    alike = [g for left in islands(ends, lambda e: e[0], LEFTS) for g in islands(left, lambda e: e[1], RIGHTS)]
+    columns: list[tuple[float, float]] = []
+    for a, b in sorted(((sum(e[0] for e in g) / len(g), sum(e[1] for e in g) / len(g)) for g in alike), key=lambda c: c[1] - c[0]):
+        inside = [c for c in columns if a - 1 <= c[0] and c[1] <= b + 1 and b - a > c[1] - c[0] + WIDER]
+        if a >= x0 + NUMBERS * (x1 - x0) and not inside:
+            columns.append((a, b))
+    columns.sort()
+    return [(x0, columns[0][0] - 1), *columns] if len(columns) > 1 and columns[0][0] - 1 > x0 else []
 
 
 def grid(words: list[dict], columns: list[tuple[float, float]], gap: float = 3) -> list[list[str]]:
@@ -136,3 +142,26 @@ def excluded_candidates(pages: DataFrame, accepted: DataFrame, notes: DataFrame)
     why = notes.groupBy(*key).agg(F.min("note").alias("note"))
     reason = F.when(F.col("accepted_count") == 0, F.coalesce("note", F.lit(NOT_REGISTERED))).otherwise(DIAGNOSTIC)
     return got.join(why, key, "left").select(*key, "candidate_count", "accepted_count", reason.alias("reason"))
+
+
+def heuristic_tables(pages: DataFrame, boxes: DataFrame) -> DataFrame:
+    """heuristic_table() of every box (source_file, page, x0, top, x1, bottom) on read pages (source_file, page, text, words, rules).
+
+    Gives source_file, page, table_number (by place on the page), matrix, header_row_count, table_title, table_context,
+    statement_scope; boxes without a table give no row.
+    """
+    places = ("x0", "top", "x1", "bottom")
+    on = boxes.groupBy("source_file", "page").agg(F.array_sort(F.collect_list(F.struct("top", "x0", "x1", "bottom"))).alias("boxes"))
+    got = pages.where(F.col("words").isNotNull()).select("source_file", "page", "text", "words", "rules").join(on, ["source_file", "page"])
+    told = ("matrix", "header_row_count", "table_title", "table_context", "statement_scope")
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for p in pdf.itertuples(index=False):
+                words, rules = json.loads(p.words), json.loads(p.rules or "[]")
+                found = (heuristic_table(words, rules, tuple(b[c] for c in places), p.text or "") for b in p.boxes)
+                rows += [(p.source_file, p.page, n, *(t[c] for c in told)) for n, t in enumerate(filter(None, found), 1)]
+            yield pd.DataFrame(rows, columns=["source_file", "page", "table_number", *told])
+
+    return got.mapInPandas(run, "source_file string, page int, table_number int, matrix array<array<string>>, header_row_count int, table_title string, table_context string, statement_scope string")
