@@ -123,8 +123,9 @@ def _named(tag: str, attrs: str) -> int:
         for token in value.split():
             words = {w.lower() for w in _PART.findall(token)}
             if tag == "article":
-                if words & {"comment", "comments", "reply", "ad", "sponsored"}:
+                if words & {"comment", "comments", "reply", "replies"}:
                     return 2
+                most = max(most, int(bool(words & {"ad", "sponsored"})))  # an article that is called so may be the page's only one
             elif words & BOILERPLATE and words <= BOILERPLATE | NEUTRAL:
                 most = max(most, 2 if words & CLOSED else 1)
     return most
@@ -134,7 +135,8 @@ def blocks(html: str) -> list[tuple[str, int, float, int]]:
     """(text, words, link density, place) of each text block of a page in order.
 
     A name counts for nothing where it wraps what there is: an article in it is the page's article if no other is and it
-    has more text than the rest, and its long blocks with few links are text on a page that has no other.
+    has more text than the rest, and its long blocks with few links are text on a page that has no other. A page of short
+    blocks only keeps those with few links outside parts that are named.
     """
     out: list[list] = []
     stack: list[tuple[str, int, bool, int]] = []  # tag, 2 in boilerplate or 1 in a part that is named so, in article, form
@@ -229,6 +231,9 @@ def blocks(html: str) -> list[tuple[str, int, float, int]]:
             return placed(inner)
         if not rest:
             return placed([b for b in out if b[3] == 1 and b[1] >= LONG and b[2] < LINKED])
+    if not article and not _kept(found):  # short blocks only: those that nothing speaks against
+        free = [not b[3] and b[2] < LINKED for b in out]
+        return [(*f[:3], 2 if x else f[3]) for f, x in zip(found, free, strict=True)]
     return found
 
 

@@ -57,3 +57,16 @@ def test_generated_pages(spark):
         inner = re.search(r"<article>(.*)</article>", x.html, re.S)[1]
         want = " ".join(unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", inner))).split())
         assert got[x.page_id] == want
+
+
+def test_names_and_short_pages_cost_no_text():
+    long = " ".join(["This is a long paragraph of the main text that says something of substance about the matter"] * 3)
+    body = "".join(f"<p>{long} {i}.</p>" for i in range(3))
+    want = " ".join(f"{long} {i}." for i in range(3))
+    nav = "<nav><a href=x>Home</a> <a href=y>News</a></nav>"
+    for inner in (f'<div class="social-science-post">{body}</div>', f'<div id="main" class="page search">{body}</div>', f'<article class="post ad">{body}</article>', f'<article class="post ad">{body}</article><div class=ad>Buy now</div>'):
+        assert main_text(f"<body>{nav}{inner}<footer>Imprint</footer></body>") == want, inner
+    assert main_text(f"<body>{nav}<p>One short line.</p><p>Two &amp; more.</p><p>Three of\n them.</p><footer>Imprint</footer></body>") == "One short line. Two & more. Three of them."
+    advert = f'<article class="ad"><p>{long}</p></article>'
+    assert main_text(f"<body><article>{body}</article>{advert}</body>") == want
+    assert main_text(f'<body><div>{body}</div><article class="comment"><p>{long} {long} {long} {long}</p></article></body>') == want
