@@ -60,6 +60,10 @@ LABELLED = (
     (1, 0.00, 45, 0.00, 30, 0.00, 1, 1), (40, 0.00, 2, 1.00, 3, 1.00, 1, 1), (28, 0.10, 25, 0.00, 4, 0.00, 1, 1), (70, 0.00, 1, 1.00, 12, 0.00, 1, 1),
     (66, 0.00, 20, 0.00, 1, 1.00, 1, 1), (45, 0.02, 30, 0.00, 2, 1.00, 1, 1), (110, 0.00, 60, 0.00, 0, 0.00, 1, 1), (33, 0.00, 1, 1.00, 1, 1.00, 1, 1),
     (52, 0.00, 44, 0.00, 5, 0.00, 1, 1), (29, 0.00, 35, 0.00, 3, 1.00, 1, 1), (85, 0.10, 9, 0.00, 8, 0.00, 1, 1), (38, 0.00, 70, 0.00, 10, 0.50, 1, 1),
+    (48, 0.00, 0, 0.00, 52, 0.00, 1, 1), (70, 0.00, 0, 0.00, 31, 0.00, 1, 1), (36, 0.02, 0, 0.00, 0, 0.00, 1, 1), (27, 0.00, 3, 0.00, 41, 0.00, 1, 1),
+    (95, 0.00, 2, 0.00, 60, 0.00, 1, 1), (58, 0.04, 0, 0.00, 2, 1.00, 1, 1), (44, 0.00, 4, 0.00, 6, 0.00, 1, 1), (33, 0.00, 0, 0.00, 75, 0.00, 1, 1),
+    (60, 0.00, 90, 0.00, 3, 1.00, 2, 1), (45, 0.00, 80, 0.00, 2, 1.00, 1, 1), (30, 0.00, 120, 0.00, 0, 0.00, 2, 1), (5, 0.00, 100, 0.00, 2, 0.00, 2, 1),
+    (72, 0.00, 85, 0.00, 1, 1.00, 1, 1), (16, 0.00, 95, 0.00, 4, 0.50, 2, 1), (2, 0.00, 110, 0.00, 1, 0.00, 2, 1), (26, 0.10, 75, 0.00, 0, 0.00, 1, 1),
     (1, 1.00, 1, 1.00, 1, 1.00, 1, 0), (3, 1.00, 2, 1.00, 4, 0.80, 1, 0), (6, 0.80, 5, 1.00, 2, 1.00, 1, 0), (4, 0.00, 2, 1.00, 3, 1.00, 1, 0),
     (12, 0.70, 3, 1.00, 5, 1.00, 1, 0), (30, 0.90, 4, 1.00, 6, 1.00, 1, 0), (5, 0.00, 6, 0.00, 2, 1.00, 1, 0), (3, 0.00, 4, 0.00, 5, 0.00, 1, 0),
     (2, 0.00, 1, 1.00, 2, 0.50, 1, 0), (8, 0.00, 3, 1.00, 2, 0.00, 1, 0), (22, 0.60, 2, 1.00, 9, 0.50, 1, 0), (7, 0.50, 3, 0.90, 4, 0.00, 1, 0),
