@@ -24,18 +24,27 @@ CAP, WEIGHTS, BUCKET, FAN = 3, (1, 2, 3), 4096, 512
 def targets(sizes: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """(source, source_size, target, ratio, n, rank) of sizes (source, source_size, n): shares of all words by weight, at most cap times the source's size.
 
-    Sources are sorted by the level at which they reach the cap; the first one that stays below gives the level of all.
-    The windows hold one row per source.
+    Sources are dealt out by range and ranked by their place in their part and the sources of the parts before. The level
+    of all rises from the plain share: what capped sources leave is shared by the others, until no more reach their cap.
+    Each step is one sum over the sources, and ends at least one of them.
     """
-    cycle = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
-    s = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))).withColumn("w", cycle)
-    by = Window.orderBy(F.col("source_size") / F.col("w"), "rank")
-    before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everywhere = Window.partitionBy(F.lit(0))
-    s = s.withColumn("level", (F.sum("source_size").over(everywhere) - cap * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("w").over(after))
-    below = F.when(cap * F.col("source_size") >= F.col("level") * F.col("w"), F.struct(F.col("place"), F.col("level")))
-    s = s.withColumn("place", F.row_number().over(by)).withColumn("level", F.coalesce(F.min(below).over(everywhere)["level"], F.lit(0.0)))
-    target = F.least((cap * F.col("source_size")).cast("double"), F.col("level") * F.col("w"))
+    by = F.col("source").asc_nulls_last()
+    placed = stash(sizes.repartitionByRange(by).sortWithinPartitions(by).withColumn("place", F.monotonically_increasing_id()), "sources")
+    parts = placed.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count("*").alias("in_part"))
+    before = F.sum("in_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row a part
+    parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    rank = F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1) + 1
+    cycle = F.element_at(F.array(*map(F.lit, weights)), ((rank - 1) % len(weights) + 1).cast("int"))
+    s = placed.withColumn("part", F.shiftright("place", 33)).join(F.broadcast(parts), "part")
+    s = stash(s.select("source", "source_size", "n", rank.cast("int").alias("rank"), cycle.alias("w")), "ranked")
+    level, capped = 0.0, -1
+    while True:
+        full = cap * F.col("source_size") < F.lit(level) * F.col("w")
+        n, total, held, w = s.agg(F.sum(full.cast("long")), F.sum("source_size"), F.sum(F.when(full, cap * F.col("source_size"))), F.sum(F.when(~full, F.col("w")))).first()
+        if not w or n == capped:
+            break
+        capped, level = n, ((total or 0) - (held or 0)) / w
+    target = F.least((cap * F.col("source_size")).cast("double"), F.lit(level) * F.col("w"))
     return s.select("source", "source_size", "n", "rank", target.alias("target"), F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0).alias("ratio"))
 
 
