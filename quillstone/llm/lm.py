@@ -4,7 +4,7 @@ Counting: tasks sort the (context, token) hash pairs of about PAIRS tokens at a
 compressed block of distinct pairs with counts for each shard of the pair's key. A shard merges its blocks, writes the
 sorted key array with its counts to the shared folder, and passes on what each word gains by it: occurrences, distinct
 contexts, distinct continuations by count. Word shards merge these the same way. Scoring: workers map the sorted arrays
-into memory (or a copy, where the folder isn't a local one) and look up a block of texts at a time by binary search.
+into memory (or a copy of a file, where the folder isn't a local one) and look up a block of texts at a time by binary search.
 
 A key is context * A + token modulo 2^64 of 64-bit word hashes, so the token follows from key and context.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -174,31 +175,34 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 
 
 class Model:
-    """The arrays of a folder, mapped into memory."""
+    """The arrays of a folder, each file mapped into memory when it is first looked up in.
+
+    A file of a remote folder is fetched to a local one that has no name any more once it is mapped.
+    """
 
     def __init__(self, folder: str, bits: int, stats: dict):
         from pyarrow import fs as pafs
 
-        fs, path = pafs.FileSystem.from_uri(folder)
-        self.copy, self.bits, self.s = None, bits, stats
-        if not isinstance(fs, pafs.LocalFileSystem):
-            self.copy = tempfile.mkdtemp(prefix="model-")
-            pafs.copy_files(path, self.copy, source_filesystem=fs, destination_filesystem=pafs.LocalFileSystem())
-            path = self.copy
-        self.path, self.open = path, {}
+        self.fs, self.path = pafs.FileSystem.from_uri(folder)
+        self.bits, self.s, self.open = bits, stats, {}
+
+    def _mapped(self, file: str) -> np.ndarray:
+        from pyarrow import fs as pafs
 
-    def close(self) -> None:
-        self.open = {}
-        if self.copy:
-            shutil.rmtree(self.copy, ignore_errors=True)
+        if isinstance(self.fs, pafs.LocalFileSystem):
+            return np.memmap(file, np.uint8, "r")
+        with tempfile.NamedTemporaryFile(prefix="shard-") as local, self.fs.open_input_stream(file) as remote:
+            shutil.copyfileobj(remote, local, 1 << 20)
+            local.flush()
+            return np.memmap(local.name, np.uint8, "r")
 
     def arrays(self, name: str, kinds: list) -> list[np.ndarray] | None:
         if name not in self.open:
-            import os
+            from pyarrow import fs as pafs
 
             file, out = f"{self.path}/{name}", None
-            if os.path.exists(file):
-                raw, at, out = np.memmap(file, np.uint8, "r"), 8 * (len(kinds) + 1), []
+            if self.fs.get_file_info(file).type != pafs.FileType.NotFound:
+                raw, at, out = self._mapped(file), 8 * (len(kinds) + 1), []
                 for n, kind in zip(raw[8:at].view(np.int64).tolist(), map(np.dtype, kinds), strict=True):
                     out.append(raw[at : at + n * kind.itemsize].view(kind))
                     at += n * kind.itemsize
@@ -254,6 +258,12 @@ class Model:
         return np.diff(begin), np.add.reduceat((c[t] > 0).astype(np.int64), at), np.add.reduceat(base[t], at), np.add.reduceat(p, at)
 
 
+@lru_cache(1)
+def _model(folder: str, bits: int) -> Model:
+    """A worker keeps its last model, so that its tasks share what is mapped."""
+    return Model(folder, bits, {})
+
+
 def train(docs: DataFrame) -> tuple[str, int, dict]:
     """(folder, bits, statistics) of a model of all rows of docs (text, ...); no rows make a model that knows nothing."""
     spark = docs.sparkSession
@@ -284,15 +294,13 @@ def score(docs: DataFrame, model: tuple[str, int, dict]) -> DataFrame:
     """
 
     def run(batches):
-        m = Model(*model)
-        try:
-            for rows, w in chunks(batches, chunk=2 << 20):
-                n, known, base, p = m.score(w)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(n), pa.array(known), pa.array(np.full(len(n), model[2]["N"], np.int64)), pa.array(base), pa.array(p)],
-                    ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-        finally:
-            m.close()
+        m = _model(*model[:2])
+        m.s = model[2]
+        for rows, w in chunks(batches, chunk=2 << 20):
+            n, known, base, p = m.score(w)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0), pa.array(n), pa.array(known), pa.array(np.full(len(n), model[2]["N"], np.int64)), pa.array(base), pa.array(p)],
+                ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
