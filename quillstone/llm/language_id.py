@@ -34,11 +34,11 @@ def held_out(modulus: int = 4, rest: int = 2):
 def learn(labelled: DataFrame, per_lang: int = PER_LANG) -> dict[str, bytes]:
     """{language: dictionary} from labelled (doc_id, text, lang): whole texts of the per_lang rows with the least hashes of doc_id and text.
 
-    Every non-null lang with a text that has a letter is learned. Equal texts of a language count once. What reaches the
+    Every non-null lang with a text that has a letter is learned. Equal texts count once, and not at all under two languages. What reaches the
     driver and the workers is per_lang texts a language.
     """
     seen = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("doc_id", "text").alias("h"), F.xxhash64("text").alias("t"))
-    first = seen.groupBy("lang", "t").agg(F.min("h").alias("h"))
+    first = seen.groupBy("t").agg(F.min("lang").alias("lang"), F.max("lang").alias("other"), F.min("h").alias("h")).where("lang = other")
     top = first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_lang).select("lang", "h", "r")
     rows = labelled.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(top), ["lang", "h"])
     texts: dict[str, dict[int, bytes]] = {}
@@ -90,7 +90,8 @@ def predict(dictionaries: dict[str, bytes], block: int = BLOCK, level: int = LEV
                                 best[i], least[i], second[i] = k, size, least[i]
                             elif size < second[i]:
                                 second[i] = size
-            score = np.where(best < 0, 0.0, np.where(np.isinf(second), 1.0, 1 - least / np.maximum(second, 1)))
+            known = np.where(best < 0, 0.0, least)
+            score = np.where(best < 0, 0.0, np.where(np.isinf(second), 1.0, 1 - known / np.maximum(second, 1)))
             pred = [langs[k] if k >= 0 else "und" for k in best.tolist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
