@@ -31,8 +31,8 @@ NUM, DEN, SHINGLE = 85, 100, 4
 BAND = 1.4
 #: Bits of slots of the tables that tell common features from rare ones, at most; slots of a block of them.
 SLOT_BITS, BLOCK = 24, 1 << 16
-#: Tables of a block that are added in one task.
-FAN = 256
+#: Tasks whose counts of a block are added in one; features that a task counts at once.
+FAN, TALLY = 256, 1 << 21
 _ARMS = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
@@ -163,43 +163,73 @@ def _verified(num: int, den: int):
 
 
 def _tally(bits: int):
-    """Blocks of three tables over 2^bits slots: features of a slot, up to 255; eighths of the slot (a bit each) that hold one; that hold two."""
+    """How many features each eighth of 2^bits slots holds, up to 255: for each block of slots, runs of (eighths, counts) as sorted steps."""
 
     def run(batches):
         import zstandard
         from pyspark import TaskContext
 
-        count, once, twice = np.zeros((3, 1 << bits), np.uint8)
+        pack, part = zstandard.ZstdCompressor(level=1).compress, TaskContext.get().partitionId() // FAN
+
+        def flush(features):
+            eighth, n = np.unique(np.concatenate(features), return_counts=True)
+            block = (eighth // np.uint64(8 * BLOCK)).astype(np.int64)
+            at = (eighth % np.uint64(8 * BLOCK)).astype(np.uint32)
+            cut = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
+            rows = []
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                planes = np.diff(at[a:b], prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+                rows.append((int(block[a]), part, (b - a).item().to_bytes(4, "little") + pack(planes + np.minimum(n[a:b], 255).astype(np.uint8).tobytes())))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["block", "part", "counts"])
+
+        held, size = [], 0
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(1).slice(at, 500)]
-                eighth, n = np.unique(np.concatenate(sets) >> np.uint64(61 - bits), return_counts=True)
-                slot, bit = (eighth >> np.uint64(3)).astype(np.int64), np.uint8(1) << (eighth & np.uint64(7)).astype(np.uint8)
-                first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1]))) if len(slot) else np.zeros(0, np.int64)
-                if len(first):
-                    slot, held = slot[first], np.bitwise_or.reduceat(bit, first)
-                    twice[slot] |= np.bitwise_or.reduceat(np.where(n > 1, bit, 0).astype(np.uint8), first) | once[slot] & held
-                    once[slot] |= held
-                    count[slot] = np.minimum(255, count[slot] + np.add.reduceat(n, first))
-        if once.any():
-            tables = np.stack([count, once, twice]).reshape(3, -1, BLOCK)
-            parts = [zstandard.compress(tables[:, i].tobytes(), 1) for i in range(tables.shape[1])]
-            part = np.full(len(parts), TaskContext.get().partitionId() // FAN, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(part), pa.array(parts, pa.binary())], ["block", "part", "tables"])
+                held += [np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(61 - bits) for x in b.column(1).slice(at, 500)]
+                size += sum(map(len, held[-500:]))
+                if size >= TALLY:
+                    yield flush(held)
+                    held, size = [], 0
+        if size:
+            yield flush(held)
 
     return run
 
 
+def _tables(blobs) -> list[np.ndarray]:
+    """Of a block of slots: features, eighths that hold one or more, eighths that hold two or more."""
+    import zstandard
+
+    total, once, twice = np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.uint8), np.zeros(BLOCK, np.uint8)
+    for x in blobs:
+        m = int.from_bytes(x[:4], "little")
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(x[4:]), np.uint8)
+        at, n = np.cumsum(raw[: 4 * m].reshape(4, m).T.copy().view(np.uint32)[:, 0], dtype=np.int64), raw[4 * m :]
+        slot, bit = at >> 3, np.uint8(1) << (at & 7).astype(np.uint8)
+        first = np.flatnonzero(np.diff(slot, prepend=-1))
+        slot, ones = slot[first], np.bitwise_or.reduceat(bit, first)
+        twice[slot] |= np.bitwise_or.reduceat(np.where(n > 1, bit, 0).astype(np.uint8), first) | once[slot] & ones
+        once[slot] |= ones
+        total[slot] += np.add.reduceat(n.astype(np.int64), first)
+    return [np.minimum(255, total).astype(np.uint8), once, twice]
+
+
+def _gathered(g):
+    import zstandard
+
+    return g.iloc[:1].assign(counts=[zstandard.compress(np.stack(_tables(g["counts"])).tobytes(), 1)])
+
+
 def _summed(g):
     import zstandard
 
     total, once, twice = np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.uint8), np.zeros(BLOCK, np.uint8)
-    for x in g["tables"]:
+    for x in g["counts"]:
         n, one, two = np.frombuffer(zstandard.decompress(x), np.uint8).reshape(3, BLOCK)
         total += n
         twice |= two | once & one
         once |= one
-    return g.iloc[:1].assign(part=g["part"].iloc[0] // FAN, tables=[zstandard.compress(np.stack([np.minimum(255, total).astype(np.uint8), once, twice]).tobytes(), 1)])
+    return g.iloc[:1].assign(counts=[zstandard.compress(np.stack([np.minimum(255, total).astype(np.uint8), twice]).tobytes(), 1)])
 
 
 def _prefixes(common, bits: int, num: int, den: int):
@@ -238,12 +268,12 @@ def _prefix_pairs(sets: DataFrame, labels: DataFrame, num: int, den: int) -> Dat
 
     n = (sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0) // 8
     bits = max(16, min(SLOT_BITS, (4 * n).bit_length()))
-    schema = "block int, part int, tables binary"
+    schema = "block int, part int, counts binary"
     tallied = sets.select("key", "shingles").mapInArrow(_tally(bits), schema)
-    tallied = tallied.groupBy("block", "part").applyInPandas(_summed, schema).groupBy("block").applyInPandas(_summed, schema)  # FAN blocks meet, then their sums
+    tallied = tallied.groupBy("block", "part").applyInPandas(_gathered, schema).groupBy("block").applyInPandas(_summed, schema)  # those of FAN tasks meet, then their tables
     tables = np.zeros((2, 1 << bits), np.uint8)
     for block, _, blob in tallied.collect():  # 2^bits slots at most
-        tables[:, block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(3, BLOCK)[[0, 2]]
+        tables[:, block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(2, BLOCK)
     common = sets.sparkSession.sparkContext.broadcast(tables)
     placed = sets.select("key", "shingles").mapInArrow(_prefixes(common, bits, num, den), "node long, size long, feature long, place long")
     placed = stash(placed.join(labels, "node"), "prefixes")
