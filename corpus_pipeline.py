@@ -17,43 +17,67 @@ from quillstone.llm.ngram_join import ngram_join
 from quillstone.llm.packing import pack
 
 
+def _boxed(docs: DataFrame, *keys: str) -> DataFrame:
+    """Rows of docs as one column, __row, beside copies of keys: no column that a step adds can clash with theirs."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), *(F.col(k).alias(f"__{k}") for k in keys))
+
+
+def _opened(boxed: DataFrame, docs: DataFrame) -> DataFrame:
+    return boxed.select(*(F.col("__row").getField(c).alias(c) for c in docs.columns))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the language of is not told: no letters, or a narrow margin."""
+    """Drops what the language of is not told: no letters, or a narrow margin.
+
+    Null and empty texts have no letters and go; repeated rows stay or go together; a text of any length is judged whole;
+    no rows give no rows; columns of any name are handed on.
+    """
     return keep_identified(docs, learn(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts; only rows that may be in a group are shuffled."""
-    kept = stash(exact_dedup(docs).where("group_size > 1 and kept").select("keep_id", F.col("text_sha256").alias("__sha")), "kept")
-    seen = bitmap_hits(docs.withColumn("__sha", F.sha2(normalised(), 256)), F.col("__sha"), kept, F.col("__sha"), kept.count())
-    among = seen.where("__hit").join(kept.withColumn("__group", F.lit(True)), "__sha", "left")
-    alone = among.where("__group is null").select(docs.columns)
-    one = among.where("__group").where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["__sha"]).select(docs.columns)
-    return seen.where("not __hit").select(docs.columns).unionByName(alone).unionByName(one)
+    """One row of each group of equal texts: of the least doc_id, null last; of rows that share it too, any one.
+
+    Null text counts as empty; a text of any length is compared whole; no rows give no rows; columns of any name are
+    handed on. Only rows whose doc_id may be one of those to drop are hashed and shuffled again.
+    """
+    kept = exact_dedup(docs).where("group_size > 1").groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("__stays"), F.count("*").alias("__n"))
+    odd = stash(kept.where("not __stays or __n > 1").withColumnsRenamed({"doc_id": "__id", "text_sha256": "__sha"}), "odd")
+    seen = bitmap_hits(_boxed(docs, "doc_id"), F.col("__doc_id"), odd, F.col("__id"), odd.count())
+    among = seen.where("__hit").withColumn("__own", F.sha2(normalised("__row.text"), 256))
+    among = among.join(odd, F.col("__doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left").where("__stays is null or __stays")
+    alike = F.when(F.col("__n") > 1, F.concat_ws(":", "__own", F.col("__doc_id").cast("string"))).otherwise(F.monotonically_increasing_id().cast("string"))
+    one = among.withColumn("__alike", alike).dropDuplicates(["__alike"])
+    return _opened(seen.where("not __hit"), docs).unionByName(_opened(one, docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least doc_id of each component of near copies: five words, a similarity of 0.8 or more.
 
-    Rows that share a doc_id go only if all of them would.
+    Rows that share a doc_id go only if all of them would; rows without words, with null text, or with a null doc_id link
+    with nothing or stay. A text of any length is one set; no rows give no rows; columns of any name are handed on.
     """
     stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
     gone = ngram_join(docs, n=5, num=80, den=100).groupBy("doc_id").agg(stays.alias("stays")).where("not stays and doc_id is not null")
-    gone = stash(gone.select("doc_id"), "gone")
-    seen = bitmap_hits(docs, F.col("doc_id"), gone, F.col("doc_id"), gone.count())
-    among = seen.where("__hit").join(gone, "doc_id", "left_anti")
-    return seen.where("not __hit").select(docs.columns).unionByName(among.select(docs.columns))
+    gone = stash(gone.select(F.col("doc_id").alias("__id")), "gone")
+    seen = bitmap_hits(_boxed(docs, "doc_id"), F.col("__doc_id"), gone, F.col("__id"), gone.count())
+    among = seen.where("__hit").join(gone, F.col("__doc_id") == F.col("__id"), "left_anti")
+    return _opened(seen.where("not __hit"), docs).unionByName(_opened(among, docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mixture takes it."""
-    got = mix_sources(docs).where("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(F.max("copies").alias("__n"))
-    both = docs.join(got, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")))
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(docs.columns)
+    """Every document as many times as the mixture takes it.
+
+    A null source is a source, sorted last; rows that share doc_id and source are taken the same number of times; rows
+    without words get the whole copies only. No rows give no rows; columns of any name are handed on.
+    """
+    got = mix_sources(docs).where("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__from")).agg(F.max("copies").alias("__n"))
+    both = _boxed(docs, "doc_id", "source").join(got, F.col("__doc_id").eqNullSafe(F.col("__id")) & F.col("__source").eqNullSafe(F.col("__from")))
+    return _opened(both.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, by sequence."""
+    """The pieces of all documents, by sequence; null and empty texts are their end alone, repeated rows documents of their own, long texts many pieces."""
     return pack(docs)
 
 
