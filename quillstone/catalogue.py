@@ -351,10 +351,18 @@ def remove_boundary_lines(spark, sf):
     return cleaning.remove_edges(_pages(spark, sf)).select("doc", "page", F.size("removed").cast("long").alias("removed"), F.md5("text").alias("body"))
 
 
-@query()
+PROTECTED = r"list_transform(regexp_extract_all(coalesce({0}, ''), '(?:^|[^\p{L}\p{N}_])(\[\d+\]|[-+]?\d+(?:[.,]\d+)*(?:%|[A-Za-zµμ]+)?)', 1), lambda x: lower(x))"
+
+
+@query(f"""with {LINES}, every as (select doc, page, generate_subscripts(a, 1) as nth, unnest(a) as line from ls),
+    k as (select *, sum((line <> '')::int) over (partition by doc, page order by nth) as pos, sum((line <> '')::int) over (partition by doc, page) as n from every),
+    m as (select k.*, line <> '' and (pos <= 3 or pos > greatest(3, n - 3)) and exists (select 1 from rep where rep.doc = k.doc and rep.line = k.line) as again, line <> '' and (pos <= 3 or pos > greatest(3, n - 3)) and line = page::varchar and regexp_full_match(line, '\\d{{1,4}}') as number from k),
+    b as (select doc, page, coalesce(string_agg(line, chr(10) order by nth) filter (not again and not number), '') as body, count(*) filter (again or number) as removed, coalesce(string_agg(line, ' ') filter (again or number), '') as gone from m group by 1, 2),
+    c as (select *, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(body, '([^-])-\n(\p{{Ll}})', '\1\2', 'g'), '\n\n+'), lambda x: replace(regexp_replace(x, '^\n+|\n+$', '', 'g'), chr(10), ' ')), lambda x: x <> ''), chr(10) || chr(10)) as cleaned from b)
+    select doc, page, length(cleaned)::int as n_chars, removed::int as removed, md5(cleaned) as cleaned, len(list_filter({at(PROTECTED, "text")}, lambda x: not list_contains({at(PROTECTED, "cleaned")}, x) and not list_contains({at(PROTECTED, "gone")}, x))) = 0 as protected_kept from c join pages_ using (doc, page)""")
 def clean_pages(spark, sf):
     got = cleaning.clean_pages(_pages(spark, sf))
-    return got.select("doc", "page", F.length("cleaned_text").alias("n_chars"), F.size("removed").alias("removed"), "protected_kept")
+    return got.select("doc", "page", F.length("cleaned_text").alias("n_chars"), F.size("removed").alias("removed"), F.md5("cleaned_text").alias("cleaned"), "protected_kept")
 
 
 @query("select doc_id, sha256(text) as digest, row_number() over (partition by lang, sha1(text) order by doc_id) = 1 as first from documents")
@@ -690,7 +698,7 @@ def concept_support(spark, sf):
     return evaluation.concepts(d)
 
 
-@query("""select count(*) as points, count(distinct doc_id) as distinct_ids, 0::bigint as missing_ids, true as companies_ok from documents""")
+@query("""select count(*) as points, count(distinct doc_id) as distinct_ids, count(*) filter (coalesce(doc_id::varchar, '') = '') as missing_ids, list_sort(list(distinct lang)) = ['de', 'en', 'es', 'fr'] as companies_ok from documents""")
 def collection_checks(spark, sf):
     p = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("lang").alias("company_id"))
     return evaluation.collection_checks(p, ["en", "fr", "de", "es"])
@@ -736,7 +744,7 @@ def windowed_counts(spark, sf):
     return incremental.windowed_counts(table(spark, sf, "events")).select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("""select doc_id, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) > 0 as has_norm, round(1.0::double, 6) as unit_norm from (select vec_id as doc_id, embedding from embeddings)""")
+@query("""select doc_id, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) > 0 as has_norm, round(sqrt(list_sum(list_transform(embedding, lambda x: (x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) ** 2))), 6) as unit_norm from (select vec_id as doc_id, embedding from embeddings)""")
 def vector_norm(spark, sf):
     v = table(spark, sf, "embeddings")
     e = F.col("embedding")
@@ -864,6 +872,39 @@ def usage_summary(spark, sf):
     return evaluation.usage(d, "lang")
 
 
+PARTS = "(doc_id % 11) / 10.0::double as content, (doc_id % 3) / 2.0::double as exact, (doc_id % 5) / 4.0::double as boundary, (doc_id % 2)::double as size, (doc_id % 7) / 6.0::double as metadata"
+SCORE = "round(100 * (content * 0.4::double + exact * 0.25::double + boundary * 0.15::double + size * 0.1::double + metadata * 0.1::double), 2)"
+
+
+def _parts(spark, sf):
+    share = lambda n: (F.col("doc_id") % n) / F.lit(float(n - 1))
+    return table(spark, sf, "documents").select("doc_id", "source", "n_chars", share(11).alias("content"), share(3).alias("exact"), share(5).alias("boundary"), share(2).alias("size"), share(7).alias("metadata"))
+
+
+@query(f"select doc_id, round({SCORE}, 2) as score, case when {SCORE} >= 90 then 'A' when {SCORE} >= 80 then 'B' when {SCORE} >= 70 then 'C' else 'D' end as grade from (select doc_id, {PARTS} from documents)")
+def weighted_score(spark, sf):
+    return scoring.overall(_parts(spark, sf)).select("doc_id", "score", "grade")
+
+
+@query(f"select source, count(*) as files, round(sum(content * greatest(1, n_chars)) / sum(greatest(1, n_chars)), 6) as content from (select source, n_chars, {PARTS} from documents) group by 1")
+def cross_file_mean(spark, sf):
+    return scoring.across_files(_parts(spark, sf), "content", "n_chars", ["source"]).select("source", "files", F.round("content", 6).alias("content"))
+
+
+@query("select doc_id, lang, source, text is not null and text <> '' as has_text from documents")
+def case_overlay(spark, sf):
+    d = table(spark, sf, "documents")
+    return evaluation.overlay(d.select("doc_id", "lang"), d.select("doc_id", "source", (F.coalesce("text", F.lit("")) != "").alias("has_text")), "doc_id")
+
+
+@query("select vec_id, round(list_sum(list_transform(h, lambda x: x::double * x::double)) / greatest(list_sum(list_transform(h, lambda x: x::double * x::double)), 1e-300::double), 6) as squared, round(h[1]::double / sqrt(list_sum(list_transform(h, lambda x: x::double * x::double))), 6) as first from (select vec_id, embedding[1:8] as h from embeddings)")
+def cls_pooling(spark, sf):
+    """Of eight token vectors of eight numbers, the first one's, to length one."""
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8))
+    v = table(spark, sf, "embeddings").select("vec_id", vectors.cls_pooled(tokens).alias("v"))
+    return v.select("vec_id", F.round(vectors.norm(F.col("v")) ** 2, 6).alias("squared"), F.round(F.col("v")[0], 6).alias("first"))
+
+
 # --- what chunks say of themselves ------------------------------------------------------------------------------------
 
 

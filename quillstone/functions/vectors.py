@@ -21,3 +21,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalised(a: Column) -> Column:
     return F.when(norm(a) > 0, F.transform(a, lambda x: x.cast("double") / norm(a))).otherwise(a.cast("array<double>"))
+
+
+def cls_pooled(hidden: Column) -> Column:
+    """The first token's vector of a text's token vectors, to length one; null where there is none."""
+    return normalised(F.try_element_at(hidden, F.lit(1)))
