@@ -20,16 +20,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where none is set (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where none is set, one of our own in local mode (tests); on a cluster that raises."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="quillstone-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillstone/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/quillstone/{spark.conf.get('spark.app.id')}/{name}-{uuid.uuid4().hex}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all that this application has written to the shared folder; for when every result was read."""
+    discard(spark, f"{shared_dir(spark)}/quillstone/{spark.conf.get('spark.app.id')}")
 
 
 @contextmanager

@@ -55,3 +55,31 @@ def test_no_documents(spark):
         docs = stage(spark, docs, "")
         assert docs.collect() == []
         docs = spark.createDataFrame([], SCHEMA)
+
+
+def test_clashing_columns_and_odd_rows(spark):
+    names = ["__row", "__sha", "__hit", "__slot", "__word", "__n", "__id", "__stays", "__own", "__alike", "rid", "key", "label", "copies", "size"]
+    rows = corpus(60) + [(4000, "the of and to in that " * 9000, "en", "src1", 9), (4000, "the of and to in that " * 9000, "en", "src1", 9)]
+    docs = spark.createDataFrame([(*x, *range(len(names))) for x in rows], ", ".join([SCHEMA, *(f"`{c}` int" for c in names)]))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(tuple(x)[5:] == tuple(range(len(names))) for x in got), name
+        if name == "exact":
+            assert sum(x.doc_id == 4000 for x in got) == 1 and sum(x.doc_id == 5 for x in got) == 1
+        if name == "near":
+            assert {x.doc_id for x in got} >= {4000, 5, None}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").where("doc_id = 4000 and start = 0").count() == 2
+
+
+def test_sweep_leaves_nothing(spark):
+    import os
+
+    from quillstone.llm.common import shared_dir, stash, sweep
+
+    stash(spark.range(3), "some")
+    folder = shared_dir(spark).removeprefix("file://") + "/quillstone"
+    assert os.listdir(folder)
+    sweep(spark)
+    assert not os.listdir(folder)
