@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import bitmap_hits, documents, stash
+from quillstone.llm.common import bitmap_hits, documents, drop, stash
 from quillstone.llm.exact_dedup import exact_dedup, normalised
 from quillstone.llm.language_id import keep_identified, learn
 from quillstone.llm.mixing import mix_sources
@@ -89,5 +89,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name)
+        before, docs = docs, stash(stage(spark, docs, sf_dir), name)
+        if hasattr(before, "_stashed"):
+            drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
