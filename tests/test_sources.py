@@ -120,3 +120,18 @@ def test_payload(spark):
     assert [x[0] for x in c.select(sinks.embed_text(c)).collect()] == ["s", "t"] and sinks.matrices(c).count() == 1
     with pytest.raises(Exception, match="different matrices"):
         sinks.matrices(c.union(spark.createDataFrame([("z", "table", "s", "t", "g", [["2"]])], c.schema))).collect()
+
+
+def test_tables_of_many_pages(spark):
+    import json
+
+    def page(shift):
+        words = [{"text": t, "x0": x, "x1": x + 20, "top": y + shift, "bottom": y + shift + 8} for t, x, y in (("Item", 0, 50), ("2023", 110, 50), ("2024", 160, 50), ("Sales", 0, 70), ("10", 110, 70), ("20", 160, 71), ("Cost", 0, 90), ("1", 110, 90), ("2", 160, 90), ("Net", 0, 110), ("9", 110, 110), ("18", 160, 110))]
+        return words, [{"x0": a + d, "x1": b + d, "top": y + shift} for a, b, d in ((105, 135, 0), (105, 135, 1), (155, 190, 0), (105, 190, 0)) for y in (60, 80)]
+
+    rows = [("f.pdf", n, "text", *map(json.dumps, page(s))) for n, s in ((1, 0), (2, 30))] + [("f.pdf", 3, "no table", "[]", "[]"), ("g.pdf", 1, None, None, None)]
+    pages = spark.createDataFrame(rows, "source_file string, page int, text string, words string, rules string")
+    boxes = spark.createDataFrame([("f.pdf", 1, 0.0, 45.0, 200.0, 120.0), ("f.pdf", 2, 0.0, 75.0, 200.0, 150.0), ("f.pdf", 3, 0.0, 0.0, 9.0, 9.0), ("g.pdf", 1, 0.0, 0.0, 9.0, 9.0)], "source_file string, page int, x0 double, top double, x1 double, bottom double")
+    got = pdf.heuristic_tables(pages, boxes).orderBy("page").collect()
+    want = [["Item", "2023", "2024"], ["Sales", "10", "20"], ["Cost", "1", "2"], ["Net", "9", "18"]]
+    assert [(r.source_file, r.page, r.table_number, r.matrix, r.header_row_count) for r in got] == [("f.pdf", 1, 1, want, 1), ("f.pdf", 2, 1, want, 1)]
