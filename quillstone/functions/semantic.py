@@ -211,7 +211,17 @@ def enrich(chunks, text=None, fiscal_year=None):
     return out.withColumns({"period_end": period_end(text, fiscal_year), "period_years": period_years(text), "unit": unit(text, col("currency"), col("unit_scale"))})
 
 
-def infer_filters(queries, aliases, years=(), formats=(), report_types=(), query="query"):
+def _holding(texts, names, most: int):
+    """texts (__q, ...) with each of names (alias, ...) that they hold: up to most names go to every task, more meet texts by their first three letters."""
+    holds = F.col("__q").contains(F.col("alias"))
+    if names.limit(most + 1).count() <= most:
+        return texts.join(F.broadcast(names), holds)
+    places = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("__q") - n + 1)), lambda i: F.substring("__q", i, F.lit(n)))
+    starts = texts.withColumn("__start", F.explode(F.array_distinct(F.concat(places(1), places(2), places(3)))))
+    return starts.join(names.withColumn("__start", F.substring("alias", 1, 3)), "__start").where(holds).drop("__start")
+
+
+def infer_filters(queries, aliases, years=(), formats=(), report_types=(), query="query", most=100_000):
     """queries with company_id, fiscal_year, source_format, report_type inferred from the text; null where it doesn't say.
 
     aliases is (alias, company_id); the longest alias that the text holds wins, then the first by name. A year counts
@@ -220,7 +230,7 @@ def infer_filters(queries, aliases, years=(), formats=(), report_types=(), query
     low = F.trim(F.regexp_replace(F.lower(text_of(query)), r"\s+", " "))
     q = queries.withColumn("__q", low).withColumn("__id", F.xxhash64(query))
     known = aliases.where("alias <> ''").select(F.lower("alias").alias("alias"), F.col("company_id").alias("__company"))
-    said = q.select("__id", "__q").distinct().join(known, F.col("__q").contains(F.col("alias")))
+    said = _holding(q.select("__id", "__q").distinct(), known, most)
     best = said.groupBy("__id").agg(F.min_by("__company", F.struct(-F.length("alias"), "alias", "__company")).alias("company_id"))
     word = "(?:fiscal|fy|财年|财务年度|年度报告|annual report)"
     behind = F.regexp_extract_all("__q", F.lit(rf"{word}[^0-9]{{0,8}}((?:19|20)\d{{2}})|((?:19|20)\d{{2}})[^a-z0-9]{{0,4}}{word}"), F.lit(0))

@@ -24,6 +24,15 @@ class Index:
     df: DataFrame
     totals: DataFrame
     chunks: DataFrame
+    stored: bool = True
+
+    def of_terms(self, wanted: DataFrame, most: int = 100_000) -> tuple[DataFrame, DataFrame]:
+        """(postings, df) with all that wanted (term) asks for: of an index that isn't stored, one pass over the texts keeps these terms only."""
+        if self.stored:
+            return self.postings, self.df
+        some = F.broadcast(wanted) if wanted.limit(most + 1).count() <= most else wanted
+        tf = _counted(_term_rows(self.chunks).join(some, "term", "left_semi"))
+        return tf, tf.groupBy("term").agg(F.count("*").alias("df"))
 
     def write(self, path: str) -> Index:
         """Postings bucketed by term range, so that a query reads few row groups."""
@@ -38,10 +47,18 @@ class Index:
         return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "df", "totals", "chunks")))
 
 
+def _term_rows(chunks: DataFrame) -> DataFrame:
+    terms = chunks.select("id", bm25_terms("text").alias("terms")).withColumn("length", F.size("terms"))
+    return terms.select("id", "length", F.explode("terms").alias("term"))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+
+
 def term_frequencies(chunks: DataFrame) -> DataFrame:
     """(id, length, term, tf) of chunks (id, text): one shuffle on id and term, counts combined map-side."""
-    terms = chunks.select("id", bm25_terms("text").alias("terms"))
-    return terms.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+    return _counted(_term_rows(chunks))
 
 
 def build(chunks: DataFrame, kind: str = "chunk_type") -> Index:
@@ -54,7 +71,7 @@ def build(chunks: DataFrame, kind: str = "chunk_type") -> Index:
     chunks = chunks if kind in have else chunks.withColumn(kind, F.lit("text"))
     tf = term_frequencies(chunks)
     totals = chunks.select(F.size(bm25_terms("text")).alias("length")).agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avgdl"))
-    return Index(tf.select("term", "id", "tf", "length"), tf.groupBy("term").agg(F.count("*").alias("df")), totals, chunks)
+    return Index(tf.select("term", "id", "tf", "length"), tf.groupBy("term").agg(F.count("*").alias("df")), totals, chunks, stored=False)
 
 
 def query_terms(queries: DataFrame, filters: dict | None = None) -> DataFrame:
@@ -82,7 +99,9 @@ def scores(index: Index, queries: DataFrame, filters: dict | None = None, k1: fl
     tf, length, n, df = (F.col(c).cast("double") for c in ("tf", "length", "n", "df"))
     idf = F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
     below = tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * length / F.greatest(F.col("avgdl"), F.lit(1e-12)))
-    hit = query_terms(queries, filters).join(index.df, "term").join(index.postings, "term").crossJoin(F.broadcast(index.totals))  # totals: one row
+    asked = query_terms(queries, filters)
+    postings, known = index.of_terms(asked.select("term").distinct())
+    hit = asked.join(known, "term").join(postings, "term").crossJoin(F.broadcast(index.totals))  # totals: one row
     if filters:
         hit = hit.join(matches(index.chunks, filters).select("id"), "id", "left_semi")
     return hit.groupBy("query_id", "id").agg(F.sum(idf * tf * F.lit(k1 + 1.0) / F.greatest(below, F.lit(1e-12))).alias("score"))

@@ -64,3 +64,11 @@ def test_records_on_one_side_fail(spark):
     c = spark.createDataFrame([("a", 0, "see [1] and 5%", None, None), ("a", 1, None, [["x", "7"], ["", None]], "row: X=7"), ("b", 0, "6 kg", None, None)], "doc string, seq int, cleaned_text string, raw_matrix array<array<string>>, table_text string")
     got = {r.doc: r for r in cleaning.validate_records(s, c).collect()}
     assert got["a"].passed and (got["a"].texts, got["a"].tables) == (1, 1) and not got["b"].protected_preserved and got["b"].projection_complete and not got["c"].passed
+
+
+def test_many_aliases_meet_by_their_first_letters(spark):
+    names = [("a", "A"), ("ab", "AB"), ("abc", "ABC"), ("pple", "P"), ("apple inc", "AI"), ("微软", "MS"), ("zz", "Z")]
+    a = spark.createDataFrame(names, "alias string, company_id string")
+    q = spark.createDataFrame([("The APPLE Inc of fy 2023",), ("pineapple",), ("微软",), ("xyz",), ("",), ("cab",)], "query string")
+    few, many = ({r.query: r.company_id for r in semantic.infer_filters(q, a, most=n).collect()} for n in (100, 2))
+    assert few == many == {"The APPLE Inc of fy 2023": "AI", "pineapple": "P", "微软": "MS", "xyz": None, "": None, "cab": "AB"}
