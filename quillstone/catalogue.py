@@ -974,6 +974,33 @@ def alias_acceptance(spark, sf):
     return evaluation.alias_layers(evaluation.check_alias_cases(c), e)
 
 
+def _accepted(spark, sf):
+    d = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    number = F.format_number("n_chars", 0)
+    e = d.select(F.col("doc_id").alias("case_id"), F.explode(F.array("lang", F.when(F.col("toxic") == 1, "other").otherwise(""))).alias("company_id"), F.lit("notes").alias("statement_family"),
+                 F.concat(F.lit("net sales of "), number, F.lit(" and 5%")).alias("text"), (F.col("doc_id") % 5).cast("int").alias("page"))
+    return d.withColumns({"case_id": F.col("doc_id"), "company_id": F.col("lang"), "answer": F.concat(F.lit("It is "), number, F.lit(", or 7 or 5%")), "answerable": F.col("quality") == 1, "citation_valid": F.lit(True), "citation_ids": F.array(F.lit("S1"))}), e
+
+
+@query("""select doc_id as case_id, toxic = 0 and doc_id % 4 <> 0 and doc_id % 7 <> 0 and doc_id % 9 <> 0 as retrieval_coverage, quality = 1 and doc_id % 9 <> 0 as grounded_answer, quality = 1 and doc_id % 7 <> 0 and doc_id % 9 <> 0 as answer_completeness, doc_id % 6 <> 0 and doc_id % 9 <> 0 as evaluator_contract_status
+    from labels join documents using (doc_id)""")
+def case_acceptance(spark, sf):
+    d, e = _accepted(spark, sf)
+    n = F.col("n_chars").cast("string")
+    group, by = F.array(F.array(F.lit("8"), F.lit("5%")), F.array(n)), F.col("doc_id")
+    concept = F.array(F.struct(F.lit("sales").alias("name"), F.array(F.lit("net sales"), F.when(by % 4 == 0, "cash flow").otherwise("Sales Net")).alias("terms")))
+    tasks, none = F.when(by % 2 == 0, F.array(F.lit(2), F.when(by % 7 == 0, 0).otherwise(1))).when(by % 7 == 0, F.array(F.lit(0))), F.lit(None)
+    c = d.withColumns({"expected_values": F.when(by % 6 != 0, F.array(n)), "acceptable_values": group, "expected_concepts": concept, "required_families": F.array(F.lit("notes")), "task_evidence": tasks, "error": F.when(by % 9 == 0, "down").otherwise(none.cast("string"))})
+    return evaluation.case_layers(c, e)
+
+
+@query("""select doc_id as case_id, case when doc_id % 5 in (0, 1) then (doc_id % 5)::varchar else '' end as page_overlap, true as reference_page_supported, toxic = 0 as company_isolated, toxic = 0 and quality = 1 as passed from labels join documents using (doc_id)""")
+def page_acceptance(spark, sf):
+    d, e = _accepted(spark, sf)
+    c = d.withColumns({"facts": F.array(F.col("n_chars").cast("string"), F.lit("5%")), "reference_pages": F.array(F.lit(1), F.lit(0))})
+    return evaluation.page_checks(c, e).withColumn("page_overlap", F.concat_ws(",", F.col("page_overlap").cast("array<string>")))
+
+
 GUARDED = r"array_to_string(regexp_extract_all(coalesce({0}, ''), '(?:^|[^\p{L}\p{N}_])(\[\d+\]|[-+]?\d+(?:[.,]\d+)*(?:%|[A-Za-zµμ]+)?)', 1), '|')"
 
 
@@ -996,6 +1023,16 @@ def sheet_clean_validation(spark, sf):
     return cleaning.validate_records(m, c)
 
 
+@query("""select doc_id, case when l.doc_id is not null then 'quality ' || q else source end as source, l.doc_id is null as missing from documents left join (select doc_id, max(quality) as q from labels group by 1) l using (doc_id)""".replace("l.doc_id is not null", "q is not null").replace("l.doc_id is null", "q is null"))
+def metadata_back_fill(spark, sf):
+    from .plans.ingest import back_fill
+
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    known = table(spark, sf, "labels").groupBy("doc_id").agg(F.concat(F.lit("quality "), F.max("quality").cast("string")).alias("source"))
+    done, lacking = back_fill(d, known, "doc_id", ["source"])
+    return done.join(lacking.withColumn("__l", F.lit(True)), "doc_id", "left").select("doc_id", "source", F.col("__l").isNotNull().alias("missing"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Top passages of every benchmark query with statistics of the whole corpus."""
     return bm25_topk(spark, sf)

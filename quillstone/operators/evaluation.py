@@ -104,6 +104,31 @@ def check_alias_cases(cases: DataFrame) -> DataFrame:
     return cases
 
 
+def _seen(evidence: DataFrame) -> DataFrame:
+    """(case_id, companies, families, pages, evidence, n, n_paged) of evidence (case_id, company_id, statement_family, text, page)."""
+    page = F.col("page") if "page" in evidence.columns else F.lit(None).cast("int")
+    return evidence.groupBy("case_id").agg(
+        F.array_sort(F.collect_set(F.when(F.col("company_id") != "", F.col("company_id")))).alias("companies"), F.collect_set(F.coalesce("statement_family", F.lit(""))).alias("families"),
+        F.array_sort(F.collect_set(page)).alias("pages"), F.concat_ws("\n", F.collect_list("text")).alias("evidence"), F.count("*").alias("n"), F.count(page).alias("n_paged"),
+    )
+
+
+def _alone(company: str) -> Column:
+    return F.coalesce(F.col("companies") == F.array(company), F.lit(False))
+
+
+def _covered(needed: str) -> Column:
+    return F.size(F.array_except(needed, F.coalesce("families", F.array().cast("array<string>")))) == 0
+
+
+def _held(values: str, text: str) -> Column:
+    return F.forall(values, lambda v: F.coalesce(number_present(v, F.col(text)), F.lit(False)))
+
+
+def _cited() -> Column:
+    return F.coalesce("citation_valid", F.lit(False)) & (F.coalesce(F.size("citation_ids"), F.lit(0)) > 0)
+
+
 def alias_layers(cases: DataFrame, evidence: DataFrame) -> DataFrame:
     """The five layers of cases that name a company by an alias only.
 
@@ -111,17 +136,60 @@ def alias_layers(cases: DataFrame, evidence: DataFrame) -> DataFrame:
     citation_valid, citation_ids. evidence: case_id, company_id, statement_family, text; its companies must be the
     expected one alone, and a case without evidence fails.
     """
-    seen = evidence.groupBy("case_id").agg(
-        F.array_sort(F.collect_set(F.when(F.col("company_id") != "", F.col("company_id")))).alias("companies"), F.collect_set(F.coalesce("statement_family", F.lit(""))).alias("families"),
-        F.concat_ws("\n", F.collect_list("text")).alias("evidence"), F.count("*").alias("n"),
-    )
-    got = cases.join(seen, "case_id", "left")
+    got = cases.join(_seen(evidence), "case_id", "left")
     resolved = F.coalesce(F.col("resolved_company_id") == F.col("expected_company_id"), F.lit(False))
-    alone = F.coalesce(F.col("companies") == F.array("expected_company_id"), F.lit(False))
-    held = lambda c: F.forall("expected_values", lambda v: F.coalesce(number_present(v, F.col(c)), F.lit(False)))
-    families = F.size(F.array_except("required_families", F.coalesce("families", F.array().cast("array<string>")))) == 0
-    said = F.coalesce("answerable", F.lit(False)) & held("answer")
+    alone, said = _alone("expected_company_id"), F.coalesce("answerable", F.lit(False)) & _held("expected_values", "answer")
     return got.select(
-        "case_id", resolved.alias("company_filter_resolution"), alone.alias("company_isolation"), (resolved & alone & F.col("n").isNotNull() & held("evidence") & families).alias("retrieval_coverage"),
-        (said & F.coalesce("citation_valid", F.lit(False)) & (F.coalesce(F.size("citation_ids"), F.lit(0)) > 0)).alias("grounded_answer"), said.alias("answer_completeness"),
+        "case_id", resolved.alias("company_filter_resolution"), alone.alias("company_isolation"),
+        (resolved & alone & F.col("n").isNotNull() & _held("expected_values", "evidence") & _covered("required_families")).alias("retrieval_coverage"),
+        (said & _cited()).alias("grounded_answer"), said.alias("answer_completeness"),
     )
+
+
+CONTRACT = ("expected_values", "acceptable_values", "expected_concepts", "required_families")
+
+
+def case_layers(cases: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The four layers of cases under a contract, all false where a case failed with an error.
+
+    cases: case_id, company_id, expected_values, acceptable_values (one of each group must do), expected_concepts (a name and
+    terms that must all be supported), required_families, answer, answerable, citation_valid, citation_ids, task_evidence
+    (pieces of evidence of each planned task, null without a plan), error. A case that lacks a list of CONTRACT breaks it.
+    """
+    got = cases.join(_seen(evidence), "case_id", "left").withColumn("evidence", F.coalesce("evidence", F.lit("")))
+    some = lambda text: F.coalesce(F.forall("acceptable_values", lambda g: F.exists(g, lambda v: number_present(v, F.col(text)))), F.lit(True))
+    values = lambda text: F.coalesce(_held("expected_values", text), F.lit(True))
+    concepts_held = F.coalesce(F.forall("expected_concepts", lambda c: F.forall(c["terms"], lambda t: term_supported(t, F.col("evidence")))), F.lit(True))
+    tasks = F.coalesce(F.forall("task_evidence", lambda n: n > 0), F.lit(True))
+    families = F.coalesce(_covered("required_families"), F.lit(True))
+    said = F.coalesce("answerable", F.lit(False)) & values("answer") & some("answer")
+    contract = F.lit(True)
+    for c in CONTRACT:
+        contract = contract & F.col(c).isNotNull()
+    fine = F.col("error").isNull()
+    return got.select(
+        "case_id", (fine & _alone("company_id") & values("evidence") & some("evidence") & concepts_held & families & tasks).alias("retrieval_coverage"),
+        (fine & said & _cited()).alias("grounded_answer"), (fine & said & tasks).alias("answer_completeness"), (fine & contract).alias("evaluator_contract_status"),
+    )
+
+
+def page_checks(cases: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(case_id, page_overlap, reference_page_supported, company_isolated, passed) of cases with reference pages.
+
+    cases: case_id, company_id, facts, reference_pages, answer, answerable, citation_valid, citation_ids. Pages are hints: a
+    case whose evidence holds every fact, each piece with its page, is supported without an overlap too.
+    """
+    got = cases.join(_seen(evidence), "case_id", "left")
+    overlap = F.coalesce(F.array_sort(F.array_intersect("reference_pages", "pages")), F.array().cast("array<int>"))
+    present = lambda text: F.forall("facts", lambda f: F.coalesce(fact_present(f, F.col(text)), F.lit(False)))
+    paged = F.coalesce((F.col("n") > 0) & (F.col("n") == F.col("n_paged")), F.lit(False))
+    supported = (F.size(overlap) > 0) | (present("evidence") & paged)
+    alone = _alone("company_id")
+    passed = F.coalesce("answerable", F.lit(False)) & alone & _cited() & present("evidence") & present("answer") & supported
+    return got.select("case_id", overlap.alias("page_overlap"), supported.alias("reference_page_supported"), alone.alias("company_isolated"), passed.alias("passed"))
+
+
+def report_kind(cases: DataFrame) -> str:
+    """failed where every one of some cases (error) has an error, else complete."""
+    n, bad = cases.agg(F.count("*"), F.count("error")).first()
+    return "failed" if n and n == bad else "complete"

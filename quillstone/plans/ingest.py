@@ -44,7 +44,7 @@ def with_metadata(chunks: DataFrame) -> DataFrame:
     """Chunks with what their extra fields and text say."""
     j = lambda k: F.get_json_object("extra", f"$.{k}")
     out = chunks.withColumns({k: j(k) for k in ("document_id", "source_file", "table_title", "table_context", "statement_scope", "measure_name", "value_kind", "company_id", "fiscal_year")})
-    out = enrich(out.drop("period_years"), "chunk_text", "fiscal_year")
+    out = enrich(out.drop("period_years"), None, "fiscal_year")
     return out.withColumn("table_group_id", table_group(F.col("table_id"), F.col("document_id"), F.col("page_start"), F.col("chunk_id")))
 
 
