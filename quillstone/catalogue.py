@@ -354,9 +354,9 @@ def remove_boundary_lines(spark, sf):
 PROTECTED = r"list_transform(regexp_extract_all(coalesce({0}, ''), '(?:^|[^\p{L}\p{N}_])(\[\d+\]|[-+]?\d+(?:[.,]\d+)*(?:%|[A-Za-zµμ]+)?)', 1), lambda x: lower(x))"
 
 
-@query(f"""with {LINES}, every as (select doc, page, generate_subscripts(a, 1) as nth, unnest(a) as line from ls),
+@query(rf"""with {LINES}, every as (select doc, page, generate_subscripts(a, 1) as nth, unnest(a) as line from ls),
     k as (select *, sum((line <> '')::int) over (partition by doc, page order by nth) as pos, sum((line <> '')::int) over (partition by doc, page) as n from every),
-    m as (select k.*, line <> '' and (pos <= 3 or pos > greatest(3, n - 3)) and exists (select 1 from rep where rep.doc = k.doc and rep.line = k.line) as again, line <> '' and (pos <= 3 or pos > greatest(3, n - 3)) and line = page::varchar and regexp_full_match(line, '\\d{{1,4}}') as number from k),
+    m as (select k.*, line <> '' and (pos <= 3 or pos > greatest(3, n - 3)) and exists (select 1 from rep where rep.doc = k.doc and rep.line = k.line) as again, line <> '' and (pos <= 3 or pos > greatest(3, n - 3)) and line = page::varchar and regexp_full_match(line, '\d{{1,4}}') as number from k),
     b as (select doc, page, coalesce(string_agg(line, chr(10) order by nth) filter (not again and not number), '') as body, count(*) filter (again or number) as removed, coalesce(string_agg(line, ' ') filter (again or number), '') as gone from m group by 1, 2),
     c as (select *, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(body, '([^-])-\n(\p{{Ll}})', '\1\2', 'g'), '\n\n+'), lambda x: replace(regexp_replace(x, '^\n+|\n+$', '', 'g'), chr(10), ' ')), lambda x: x <> ''), chr(10) || chr(10)) as cleaned from b)
     select doc, page, length(cleaned)::int as n_chars, removed::int as removed, md5(cleaned) as cleaned, len(list_filter({at(PROTECTED, "text")}, lambda x: not list_contains({at(PROTECTED, "cleaned")}, x) and not list_contains({at(PROTECTED, "gone")}, x))) = 0 as protected_kept from c join pages_ using (doc, page)""")
