@@ -21,6 +21,8 @@ from .text import runs, utf8
 
 #: Labelled rows a language that are learned from.
 PER_LANG = 64
+#: Parts of a language's rows that are cut to the least hashes apart from each other.
+PARTS = 64
 #: Block and carrier in bytes, level of encoding; languages whose compressors a worker holds at once.
 BLOCK, CARRIER, LEVEL, HELD = 4096, 200, 12, 64
 #: Texts whose best dictionary saves less than this share over the next are rejected.
@@ -39,7 +41,9 @@ def learn(labelled: DataFrame, per_lang: int = PER_LANG) -> dict[str, bytes]:
     """
     seen = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("doc_id", "text").alias("h"), F.xxhash64("text").alias("t"))
     first = seen.groupBy("t").agg(F.min("lang").alias("lang"), F.max("lang").alias("other"), F.min("h").alias("h")).where("lang = other")
-    top = first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_lang).select("lang", "h", "r")
+    least = lambda df, *by: df.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("r") <= per_lang)
+    part = first.withColumn("part", F.pmod("h", F.lit(PARTS)))  # of a frequent language, few rows of each part meet
+    top = least(least(part, "lang", "part"), "lang").select("lang", "h", "r")
     rows = labelled.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(top), ["lang", "h"])
     texts: dict[str, dict[int, bytes]] = {}
     for x in rows.select("lang", "r", "text").collect():
