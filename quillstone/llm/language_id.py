@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import runs, utf8
+from .text import runs, tidy, utf8
 
 #: Labelled rows a language that are learned from.
 PER_LANG = 64
@@ -109,6 +109,7 @@ def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], margin: flo
     """
     judge, names = predict(dictionaries), docs.columns
 
+    @tidy
     def run(batches):
         for batch in batches:
             got = next(judge([batch.select(["doc_id", "text"])]))
@@ -125,5 +126,5 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
     first language by name. Repeated rows get the same answer; no rows give no rows; other columns are ignored. A text of
     any length is encoded whole, block by block.
     """
-    got = docs.select("doc_id", "text").mapInArrow(predict(dictionaries), "doc_id long, lang_pred string, score double")
+    got = docs.select("doc_id", "text").mapInArrow(tidy(predict(dictionaries)), "doc_id long, lang_pred string, score double")
     return got.withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("score") < margin))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap_filter, components, drop, stash
-from .text import Words, chunks, mix
+from .text import Words, chunks, mix, tidy
 
 #: Similarity in hundredths and shingle length.
 NUM, DEN, SHINGLE = 85, 100, 4
@@ -99,6 +99,7 @@ def _rekeyed(check: int) -> int:
 
 
 def _profile(n: int, key_bits: int):
+    @tidy
     def run(batches):
         for rows, w in chunks(batches):
             got = [(len(s), *_set_key(s, bits=key_bits)) for _, s in shingle_sets(w, n)]
@@ -109,6 +110,7 @@ def _profile(n: int, key_bits: int):
 
 
 def _rekey(clashing: frozenset):
+    @tidy
     def run(batches):
         for b in batches:
             key = [_rekeyed(c) if k in clashing else k for k, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
@@ -118,6 +120,7 @@ def _rekey(clashing: frozenset):
 
 
 def _signed(n: int, num: int, den: int, bits: int, key_of):
+    @tidy
     def run(batches):
         last, done = None, set()
         for rows, w in chunks(batches):
@@ -138,6 +141,7 @@ def _signed(n: int, num: int, den: int, bits: int, key_of):
 
 
 def _sets(n: int, key_of):
+    @tidy
     def run(batches):
         for _, w in chunks(batches):
             got = [(key_of(s)[0], s.tobytes()) for _, s in shingle_sets(w, n)]
@@ -147,6 +151,7 @@ def _sets(n: int, key_of):
 
 
 def _verified(num: int, den: int):
+    @tidy
     def run(batches):
         for b in batches:
             u, v, x, y = (b.column(i) for i in range(4))
@@ -165,6 +170,7 @@ def _verified(num: int, den: int):
 def _tally(bits: int):
     """How many features each eighth of 2^bits slots holds, up to 255: for each block of slots, runs of (eighths, counts) as sorted steps."""
 
+    @tidy
     def run(batches):
         import zstandard
         from pyspark import TaskContext
@@ -233,6 +239,7 @@ def _summed(g):
 
 
 def _prefixes(common, bits: int, num: int, den: int):
+    @tidy
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 500):

@@ -6,14 +6,15 @@ Work goes in runs of rows of about CHUNK bytes, so memory doesn't follow the bat
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -22,6 +23,28 @@ _BASE = 0x9E3779B97F4A7C15 | 5
 _INV = pow(_BASE, -1, 1 << 64)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, which glibc does by itself only at the end of its heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """run(batches) that gives its memory back when the task ends: workers are kept, and idle ones count beside the next stage."""
+
+    @wraps(run)
+    def tidied(batches):
+        pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit bijection that spreads every input bit."""
     x = x ^ (x >> np.uint64(30))

@@ -98,3 +98,20 @@ def test_long_text(spark):
     words = [f"w{i % 977}x{i}" for i in range(60_000)]
     rows = [(1, " ".join(words)), (2, " ".join([*words[:50_000], *words[50_100:]])), (3, " ".join(words[30_000:])), (4, "one two three four")]
     assert got(spark, rows) == brute(rows)
+
+
+def test_a_task_gives_its_memory_back():
+    from pathlib import Path
+
+    from quillstone.llm.text import tidy
+
+    pins, mb = [], lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096 >> 20
+
+    def run(batches):
+        held = [b"x" * 100_000 for _ in range(3000)]
+        pins.append(b"y" * 100_000)  # above the freed blocks, so that the heap can't shrink by itself
+        yield from batches
+        del held
+
+    before = mb()
+    assert list(tidy(run)([1, 2])) == [1, 2] and mb() - before < 150
